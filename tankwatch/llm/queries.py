@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tankwatch.llm import language, toxicity, url_filter
+import public_tokenizers
+from tankwatch.llm import decontaminate, language, lines, packing, toxicity, url_filter
 from tankwatch.llm.common import remainder, table
 
 #: The listing that op5 judges by.
@@ -33,7 +34,22 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_lines": op10_lines}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
