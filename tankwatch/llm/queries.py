@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tankwatch.llm import decontaminate, language, lines, packing, toxicity, url_filter
+from tankwatch.llm import decontaminate, language, lines, ngram_join, packing, toxicity, url_filter
 from tankwatch.llm.common import remainder, table
 
 #: The listing that op5 judges by.
@@ -34,6 +34,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_join(docs, words=3, percent=90)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -49,7 +54,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_lines": op10_lines}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_lines": op10_lines}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
