@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tankwatch.llm import decontaminate, language, lines, ngram_join, packing, toxicity, url_filter
+from tankwatch.llm import decontaminate, language, lines, ngram_join, packing, substrings, toxicity, url_filter
 from tankwatch.llm.common import remainder, table
 
 #: The listing that op5 judges by.
@@ -44,6 +44,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -54,7 +59,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_lines": op10_lines}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_lines": op10_lines}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
