@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tankwatch.llm import decontaminate, language, lines, ngram_join, packing, substrings, toxicity, url_filter
+from tankwatch.llm import decontaminate, language, lines, lm, ngram_join, packing, substrings, toxicity, url_filter
 from tankwatch.llm.common import remainder, table
 
 #: The listing that op5 judges by.
@@ -28,6 +28,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted", "margin")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
+    scored = lm.score(docs, docs.where(remainder(F.col("doc_id")) != 1))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -59,7 +66,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_lines": op10_lines}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_lm": op4_lm, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_lines": op10_lines}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
