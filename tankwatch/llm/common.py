@@ -118,4 +118,6 @@ def resolved(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & near)
     more = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return written(links.union(verify(more)), "all-links")
+    out = written(links.union(verify(more)), "all-links")
+    discard(tested, links, groups, rest)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.llm.common import components, resolved, written
+from tankwatch.llm.common import components, discard, resolved, written
 
 SHINGLE, SIMILARITY = 7, 0.8
 #: Two lines of similarity 0.8 share a band with probability 0.995, of 0.9 with more than 0.9999.
@@ -91,7 +91,11 @@ def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
 
     # character multiset sizes bound the sets' only loosely, so the ratio is left open here
-    return components(resolved(members, verify, ratio=0.0))
+    links = resolved(members, verify, ratio=0.0)
+    discard(members, texts)
+    out = components(links)
+    discard(links)
+    return out
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

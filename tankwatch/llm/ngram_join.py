@@ -160,11 +160,13 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
-    groups = components(resolved(members.select("bucket", "node", "size"), verify, ratio=percent / 100))
+    links = resolved(members.select("bucket", "node", "size"), verify, ratio=percent / 100)
+    discard(members, prefixes, sets)
+    groups = components(links)
+    discard(links)
     by_node = heads.groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null")
     joined = by_node.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(joined.join(lowest, "component").select("node", "component_id"), "classes")
-    discard(members, prefixes, sets)
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return heads.join(named, "node", "left").select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
