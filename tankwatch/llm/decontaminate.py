@@ -76,16 +76,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     worded = rows.select("doc_id", marked_words(F.col("text")).alias("words"))
     if not lengths:
         return worded.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"), F.lit(True).alias("verbatim")).where(F.lit(False))
-    hashed = worded.select("doc_id", _hashes(F.col("words")).alias("hashes"))
-    every = F.flatten(F.array(*[F.transform(_windows(F.size("hashes"), w), lambda i, w=w: F.struct(F.lit(w).alias("w"), i.alias("place"), F.xxhash64(F.slice("hashes", i, w)).alias("hash"))) for w in lengths]))
+    hashed = worded.select("doc_id", "words", _hashes(F.col("words")).alias("hashes"))
     if lengths == [window]:  # the usual case needs no struct for each window
-        spots = hashed.select("doc_id", F.posexplode(F.transform(_windows(F.size("hashes"), window), lambda i: F.xxhash64(F.slice("hashes", i, window)))).alias("place", "hash")).select("doc_id", F.lit(window).alias("w"), (F.col("place") + 1).alias("place"), "hash")
+        spots = hashed.select("doc_id", "words", F.posexplode(F.transform(_windows(F.size("hashes"), window), lambda i: F.xxhash64(F.slice("hashes", i, window)))).alias("place", "hash")).select("doc_id", "words", F.lit(window).alias("w"), (F.col("place") + 1).alias("place"), "hash")
     else:
-        spots = hashed.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.w", "s.place", "s.hash")
+        every = F.flatten(F.array(*[F.transform(_windows(F.size("hashes"), w), lambda i, w=w: F.struct(F.lit(w).alias("w"), i.alias("place"), F.xxhash64(F.slice("hashes", i, w)).alias("hash"))) for w in lengths]))
+        spots = hashed.select("doc_id", "words", F.explode(every).alias("s")).select("doc_id", "words", "s.w", "s.place", "s.hash")
     # one entry for a hash, however many items have it: the join with the documents then makes no copies
     keys = index.select("hash", "w").distinct()
-    hits = written(spots.join(F.broadcast(keys) if index.count() <= broadcast_windows else keys, ["hash", "w"]).select("doc_id", "w", "place", "hash").distinct(), "hits")
-    found = worded.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "place", "w", "hash", F.filter(F.slice("words", F.col("place"), F.col("w")), lambda x: _kind(x) != 0).alias("slots"))
+    slots = F.filter(F.slice("words", F.col("place"), F.col("w")), lambda x: _kind(x) != 0).alias("slots")
+    if index.count() <= broadcast_windows:
+        # windows meet the benchmark where they arise; only those that it has are ever moved
+        found = written(spots.join(F.broadcast(keys), ["hash", "w"]).select("doc_id", "place", "w", "hash", slots).distinct(), "hits")
+    else:
+        hits = written(spots.drop("words").join(keys, ["hash", "w"]).distinct(), "hits")
+        found = worded.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "place", "w", "hash", slots)
     pairs = found.join(index, ["hash", "w"]).where(_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
     aligned = pairs.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("ats"),
