@@ -1,6 +1,14 @@
-"""Registered queries of the telemetry operators."""
+"""Registered queries of the telemetry operators, one for each entry of the inventory."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tankwatch.plans import q_basic
+
+QUERIES: dict = {**q_basic.QUERIES}
+SQL: dict = {**q_basic.SQL}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["t10_preprocess"](spark, sf_dir)
