@@ -96,27 +96,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def resolved(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, leaders: int = 3) -> DataFrame:
+def resolved(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], leaders: int = 3) -> DataFrame:
     """Links between the nodes of candidate buckets, enough of them to connect whatever is linked at all.
 
-    ``members(bucket, node, size)`` holds buckets of two nodes or more; two nodes may only be linked if they
-    share a bucket and the smaller size is at least ``ratio`` of the larger. ``verify`` keeps the linked ones of
-    the pairs ``(a, b)``. First every node meets a few leaders of each of its buckets, which settles groups of
+    ``members(bucket, node, ...)`` holds buckets of two nodes or more; two nodes may only be linked if they share a
+    bucket and ``near`` holds for the columns of both, which are given by prefix. ``verify`` keeps the linked ones of the
+    pairs ``(a, b)``. First every node meets a few leaders of each of its buckets, which settles groups of
     copies with a few tests for each node; then all pairs of a bucket that are not yet in one component are
     tested, so that no link between components is left out.
     """
-    ranks = [F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(leaders)]
-    heads = members.groupBy("bucket").agg(*ranks).select("bucket", F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)])).alias("heads"))
-    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(ratio - 1e-9)
-    first = members.join(heads, "bucket").select(F.struct("node", "size").alias("x"), F.explode("heads").alias("y")).where(near & (F.col("x.node") != F.col("y.node")))
+    own = [c for c in members.columns if c != "bucket"]
+    ranks = [F.min_by(F.struct(*own), F.xxhash64("node", F.lit(k))).alias(f"l{k}") for k in range(leaders)]
+    heads = members.groupBy("bucket").agg(*ranks).select("bucket", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("y"))
+    sides = members.select("bucket", F.struct(*own).alias("x"))
+    first = sides.join(heads, "bucket").where((F.col("x.node") != F.col("y.node")) & near("x", "y"))
     tested = written(first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     links = written(verify(tested), "links")
     groups = written(components(links), "groups")
-    placed = members.join(groups, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    placed = members.join(groups, "node", "left").select("bucket", *own, F.coalesce("component", "node").alias("component"))
     still = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = written(placed.join(still, "bucket", "left_semi"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & near)
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & near("x", "y"))
     more = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     out = written(links.union(verify(more)), "all-links")
     discard(tested, links, groups, rest)

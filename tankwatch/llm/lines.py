@@ -6,21 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tankwatch.llm.common import components, discard, resolved, written
+from tankwatch.llm.wordhash import lots
 
 SHINGLE, SIMILARITY = 7, 0.8
 #: Two lines of similarity 0.8 share a band with probability 0.995, of 0.9 with more than 0.9999.
 BANDS, ROWS = 10, 4
+#: Numbers that hold one byte of each MinHash value; bits of the filter that picks lines to be compared; bytes of the
+#: table of removed lines that are broadcast (a larger one is joined by shuffling); characters handled at once.
+MARKS, FILTER, BROADCAST_BYTES, AT_ONCE = -(-BANDS * ROWS // 7), 1 << 24, 32 << 20, 2 << 20
+_MARKED = [f"m{k}" for k in range(MARKS)]
 _TURNS = np.random.default_rng(7).integers(1 << 20, 1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def canonical(line: Column) -> Column:
+def canonical(line: str) -> str:
     """Lower case, white space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    return " ".join(line.lower().split())
+
+
+def node_of(line: str) -> int:
+    n = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -46,22 +57,80 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return h[np.repeat(begins - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)], ends - counts
 
 
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (bands x lines), and a byte of each MinHash value, seven to a number (numbers x lines)."""
+    h, begins = shingle_hashes(lines)
+    h32 = (h >> np.uint64(32)).astype(np.uint32)
+    keys, marks = np.zeros((BANDS, len(lines)), dtype=np.uint64), np.zeros((MARKS, len(lines)), dtype=np.uint64)
+    for k, turn in enumerate(_TURNS):
+        low = np.minimum.reduceat(h32 * turn, begins).astype(np.uint64)
+        band = k // ROWS
+        keys[band] = (keys[band] ^ (low + np.uint64(k * 0x9E3779B9))) * np.uint64(0xFF51AFD7ED558CCD)
+        keys[band] ^= keys[band] >> np.uint64(31)
+        marks[k // 7] |= ((low * np.uint64(0x9E3779B1) >> np.uint64(24)) & np.uint64(0xFF)) << np.uint64(8 * (k % 7))
+    return keys.view(np.int64), marks.view(np.int64)
+
+
+def agreeing(x: str, y: str) -> Column:
+    """In how many bytes the marks of two lines agree."""
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    total = F.lit(0)
+    for k in range(MARKS):
+        d = F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))
+        total = total + F.lit(7) - F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high))
+    return total - F.lit(7 * MARKS - BANDS * ROWS)  # unused bytes are equal
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, first = np.unique(batch.column("node").to_numpy(), return_index=True)
-        for at in range(0, len(nodes), 4_000):
-            own = nodes[at : at + 4_000]
-            texts = batch.column("line").take(pa.array(first[at : at + 4_000])).to_pylist()
-            h, begins = shingle_hashes(texts)
-            h32 = (h >> np.uint64(32)).astype(np.uint32)
-            keys = np.zeros((BANDS, len(own)), dtype=np.uint64)
-            for k, turn in enumerate(_TURNS):
-                low = np.minimum.reduceat(h32 * turn, begins).astype(np.uint64)
-                band = k // ROWS
-                keys[band] = (keys[band] ^ (low + np.uint64(k * 0x9E3779B9))) * np.uint64(0xFF51AFD7ED558CCD)
-                keys[band] ^= keys[band] >> np.uint64(31)
-            sizes = np.diff(np.r_[begins, len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(own, BANDS)), pa.array(np.tile(sizes, BANDS).astype(np.int32))], names=["bucket", "node", "size"])
+        texts = batch.column("text").to_pylist()
+        for begin, end in lots([len(t) for t in texts], AT_ONCE):
+            lines = {node_of(c): c for t in texts[begin:end] for raw in t.split("\n") if (c := canonical(raw))}
+            if lines:
+                nodes = np.fromiter(lines, dtype=np.int64, count=len(lines))
+                keys, _ = signatures(list(lines.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(nodes, BANDS))], names=["bucket", "node"])
+
+
+def _spots(held):
+    """Where each line stands; the text, size and marks of those whose node the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc").to_pylist()
+            for begin, end in lots([len(t) for t in texts], AT_ONCE):
+                rows, lines = [], {}
+                for doc, text in zip(ids[begin:end], texts[begin:end], strict=True):
+                    for place, raw in enumerate(text.split("\n")):
+                        if c := canonical(raw):
+                            node = node_of(c)
+                            rows.append((doc, place, node, node in lines))
+                            lines[node] = c
+                if not rows:
+                    continue
+                nodes = np.fromiter(lines, dtype=np.int64, count=len(lines))
+                wanted = held.value[(nodes & (FILTER - 1))] & held.value[((nodes >> 30) & (FILTER - 1))]
+                known = [n for n, w in zip(nodes.tolist(), wanted.tolist(), strict=True) if w]
+                _, marks = signatures([lines[n] for n in known]) if known else (None, np.zeros((MARKS, 0), np.int64))
+                at = {n: k for k, n in enumerate(known)}
+                # a line that stands twice in the lot carries its text once
+                own = [None if r[3] else at.get(r[2]) for r in rows]
+                pick = pa.array(own, pa.int64())
+                full = pa.array([lines[n] for n in known], pa.string())
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), full.take(pick), *(pa.array(m).take(pick) for m in marks)], names=["doc", "place", "node", "line", *_MARKED])
+
+    return run
+
+
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size: it lets all nodes through, and the fewer others the fewer nodes there are."""
+    bit = F.explode(F.array(F.col("node").bitwiseAND(F.lit(FILTER - 1)), F.shiftright("node", 30).bitwiseAND(F.lit(FILTER - 1))))
+    words = nodes.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    out = np.zeros(FILTER // 64, dtype=np.int64)
+    got = words.toPandas()  # FILTER / 64 rows at most
+    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
@@ -72,32 +141,22 @@ def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                x, y = part.column("x").to_pylist(), part.column("y").to_pylist()
+                texts = list(dict.fromkeys([*x, *y]))
+                h, begins = shingle_hashes(texts)
+                sets = dict(zip(texts, map(np.unique, np.split(h, begins[1:])), strict=True))
+                keep = []
+                for a, b in zip(x, y, strict=True):
+                    one, two = sets[a], sets[b]
+                    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
+                    keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Components of similar lines: ``(node, component)`` for the nodes of ``lines(node, line)`` that have a link."""
-    banded = lines.select("node", "line").mapInArrow(_bands, "bucket long, node long, size int")
-    bucket = W.partitionBy("bucket")
-    shared = banded.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low <> high").select("bucket", "node", "size").distinct()
-    members = written(shared, "bands")
-    texts = written(lines.select("node", "line").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("node").alias("a"), F.col("line").alias("x")), texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
-
-    # character multiset sizes bound the sets' only loosely, so the ratio is left open here
-    links = resolved(members, verify, ratio=0.0)
-    discard(members, texts)
-    out = components(links)
-    discard(links)
-    return out
-
-
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with those lines left out that are like an earlier line.
 
@@ -109,17 +168,34 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     nothing; rows that share an id are copies of one document, and keep or lose a line together.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    parts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("place", "raw"))
-    lines = parts.select("doc", "place", canonical(F.col("raw")).alias("line")).where("line <> ''").withColumn("node", F.xxhash64("line"))
-    groups = written(line_groups(lines, similarity), "line-groups")
-    spots = lines.select("doc", "place", "node")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    bucket = W.partitionBy("bucket")
+    banded = rows.select("text").mapInArrow(_bands, "bucket long, node long")
+    shared = banded.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low <> high").select("bucket", "node")
+    members = written(shared.distinct(), "bands")
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(members.select("node").distinct()))
+    kinds = ", ".join(f"{m} long" for m in _MARKED)
+    spots = written(rows.mapInArrow(_spots(held), f"doc long, place int, node long, line string, {kinds}"), "spots")
+    texts = written(spots.where("line is not null").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "line", *_MARKED), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = texts.select(F.col("node").alias("a"), F.col("line").alias("x")), texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
+
+    marked = written(members.join(texts.drop("line"), "node"), "marked")
+    # of two lines as similar as asked for, fewer agree in this share of their MinHash values than one in 100,000
+    links = resolved(marked, verify, lambda x, y: agreeing(x, y) >= int(BANDS * ROWS * similarity * 0.625), leaders=8)
+    discard(members, texts, marked)
+    groups = components(links)
     firsts = spots.groupBy("node").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
     keyed = firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = keyed.groupBy("component").agg(F.min("first").alias("keep"))
     doubtful = keyed.join(kept, "component").where("first <> last or first <> keep").select("node", "keep")
-    gone = spots.join(doubtful, "node").where(F.struct("doc", "place") != F.col("keep"))
-    removed = gone.groupBy("doc").agg(F.collect_set("place").alias("_gone"))
-    out = docs.join(removed, docs[id_col] == removed["doc"], "left").drop("doc")
+    gone = spots.select("doc", "place", "node").join(doubtful, "node").where(F.struct("doc", "place") != F.col("keep"))
+    removed = written(gone.groupBy("doc").agg(F.collect_set("place").alias("_gone")), "removed")
+    discard(links, spots)
+    size = removed.agg(F.sum(F.size("_gone") * 4 + 32)).first()[0] or 0
+    out = docs.join(F.broadcast(removed) if size <= BROADCAST_BYTES else removed, docs[id_col] == removed["doc"], "left").drop("doc")
     all_lines = F.split(F.col(text_col), "\n", -1)
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(all_lines, lambda _, k: ~F.array_contains(F.col("_gone"), k)), "\n"))
     counted = out.withColumns({"n_lines": F.coalesce(F.size(all_lines), F.lit(0)), "n_removed": F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0)))})

@@ -160,7 +160,8 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
-    links = resolved(members.select("bucket", "node", "size"), verify, ratio=percent / 100)
+    alike = lambda x, y: F.least(f"{x}.size", f"{y}.size") * 100 >= F.greatest(f"{x}.size", f"{y}.size") * percent
+    links = resolved(members.select("bucket", "node", "size"), verify, alike, leaders=4)
     discard(members, prefixes, sets)
     groups = components(links)
     discard(links)
