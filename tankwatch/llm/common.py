@@ -65,6 +65,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: Bits of the filters below: a fixed size, whatever the input.
+FILTER = 1 << 24
+
+
+def key_filter(keys: DataFrame, key: str, hashed: bool = False):
+    """A Bloom filter of fixed size over a long column: it lets all keys through, and fewer others the fewer keys."""
+    import numpy as np
+
+    h = F.col(key) if hashed else F.xxhash64(key)
+    bit = F.explode(F.array(h.bitwiseAND(F.lit(FILTER - 1)), F.shiftright(h, 30).bitwiseAND(F.lit(FILTER - 1))))
+    words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    out = np.zeros(FILTER // 64, dtype=np.int64)
+    got = words.toPandas()  # FILTER / 64 rows at most
+    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def may_hold(bits, hashes):
+    """Which keys, given by their xxhash64, the filter lets through."""
+    import numpy as np
+
+    a, b = hashes & (FILTER - 1), (hashes >> 30) & (FILTER - 1)
+    get = lambda k: (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+    return get(a) & get(b)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star rounds.
 

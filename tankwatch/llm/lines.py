@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.llm.common import components, discard, resolved, written
+from tankwatch.llm.common import components, discard, key_filter, may_hold, resolved, written
 from tankwatch.llm.wordhash import lots
 
 SHINGLE, SIMILARITY = 7, 0.8
 #: Two lines of similarity 0.8 share a band with probability 0.995, of 0.9 with more than 0.9999.
 BANDS, ROWS = 10, 4
-#: Numbers that hold one byte of each MinHash value; bits of the filter that picks lines to be compared; bytes of the
-#: table of removed lines that are broadcast (a larger one is joined by shuffling); characters handled at once.
-MARKS, FILTER, BROADCAST_BYTES, AT_ONCE = -(-BANDS * ROWS // 7), 1 << 24, 32 << 20, 2 << 20
+#: Numbers that hold one byte of each MinHash value; bytes of the table of removed lines that are broadcast (a larger
+#: one is joined by shuffling); characters handled at once.
+MARKS, BROADCAST_BYTES, AT_ONCE = -(-BANDS * ROWS // 7), 32 << 20, 2 << 20
 _MARKED = [f"m{k}" for k in range(MARKS)]
 _TURNS = np.random.default_rng(7).integers(1 << 20, 1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -109,7 +109,7 @@ def _spots(held):
                 if not rows:
                     continue
                 nodes = np.fromiter(lines, dtype=np.int64, count=len(lines))
-                wanted = held.value[(nodes & (FILTER - 1))] & held.value[((nodes >> 30) & (FILTER - 1))]
+                wanted = may_hold(held.value, nodes)  # a node is a hash already
                 known = [n for n, w in zip(nodes.tolist(), wanted.tolist(), strict=True) if w]
                 _, marks = signatures([lines[n] for n in known]) if known else (None, np.zeros((MARKS, 0), np.int64))
                 at = {n: k for k, n in enumerate(known)}
@@ -123,16 +123,6 @@ def _spots(held):
     return run
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size: it lets all nodes through, and the fewer others the fewer nodes there are."""
-    bit = F.explode(F.array(F.col("node").bitwiseAND(F.lit(FILTER - 1)), F.shiftright("node", 30).bitwiseAND(F.lit(FILTER - 1))))
-    words = nodes.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    out = np.zeros(FILTER // 64, dtype=np.int64)
-    got = words.toPandas()  # FILTER / 64 rows at most
-    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     one, two = ({t[i : i + size] for i in range(max(1, len(t) - size + 1))} for t in (a, b))
     return len(one & two) / len(one | two)
@@ -173,7 +163,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     banded = rows.select("text").mapInArrow(_bands, "bucket long, node long")
     shared = banded.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low <> high").select("bucket", "node")
     members = written(shared.distinct(), "bands")
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(members.select("node").distinct()))
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(members.select("node").distinct(), "node", hashed=True))
     kinds = ", ".join(f"{m} long" for m in _MARKED)
     spots = written(rows.mapInArrow(_spots(held), f"doc long, place int, node long, line string, {kinds}"), "spots")
     texts = written(spots.where("line is not null").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "line", *_MARKED), "texts")

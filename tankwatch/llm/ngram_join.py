@@ -8,7 +8,7 @@ prefix has more postings but asks for more shared shingles before a pair is veri
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.llm.common import components, discard, resolved, written
+from tankwatch.llm.common import components, discard, key_filter, may_hold, resolved, written
 from tankwatch.llm.wordhash import lots, mixed, rolling, word_hashes
 
 #: Cells of the frequency sketch: a fixed size, whatever the input.
-CELLS = 1 << 16
+CELLS, CHUNK = 1 << 18, 1 << 12
 AT_ONCE = 4 << 20
 
 
@@ -44,18 +44,6 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _batches(make: Callable[[list[np.ndarray], pa.RecordBatch], pa.RecordBatch], size: int):
-    """Applies ``make`` to the shingle sets of the texts of each lot of a batch ``(doc_id, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in lots([len(t) for t in texts], AT_ONCE):
-                yield make(shingle_sets(texts[begin:end], size), batch.slice(begin, end - begin))
-
-    return run
-
-
 class Order:
     """Frequency classes of the sketch's cells; the global order is (class, hash)."""
 
@@ -99,23 +87,30 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and at the end the task's share of the frequency sketch."""
         cells = np.zeros(CELLS, dtype=np.int64)
-        none = lambda n: pa.nulls(n, pa.int64())
-        names = ["doc_id", "node", "n_shingles", "cell", "n"]
+        none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+        names = ["doc_id", "node", "n_shingles", "chunk", "counts"]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in lots([len(t) for t in texts], AT_ONCE):
                 sets = shingle_sets(texts[begin:end], words)
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none(n), none(n)], names=names)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([none(len(used)), none(len(used)), none(len(used)), pa.array(used), pa.array(cells[used])], names=names)
-
-    surveyed = written(rows.mapInArrow(survey, "doc_id long, node long, n_shingles long, cell long, n long"), "survey")
-    heads = surveyed.where("cell is null").select("doc_id", "node", "n_shingles")
-    cells = np.zeros(CELLS, dtype=np.float64)
-    for r in surveyed.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # CELLS rows at most
-        cells[r.cell] = r.n
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none(n), none(n, pa.binary())], names=names)
+        chunks = cells.reshape(-1, CHUNK)
+        yield pa.RecordBatch.from_arrays([none(len(chunks)), none(len(chunks)), none(len(chunks)), pa.array(range(len(chunks)), pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=names)
+
+    def added(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for c in group.column("counts"):
+            total += np.frombuffer(c.as_buffer(), dtype=np.int64)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    surveyed = written(rows.mapInArrow(survey, "doc_id long, node long, n_shingles long, chunk long, counts binary"), "survey")
+    heads = surveyed.where("chunk is null").select("doc_id", "node", "n_shingles")
+    cells = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.float64)
+    for r in surveyed.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(added, "chunk long, counts binary").collect():  # CELLS numbers
+        cells[r.chunk] = np.frombuffer(r.counts, dtype=np.int64)
+    cells = cells.ravel()
     order = spark.sparkContext.broadcast(Order(cells, percent))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +131,24 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     bucket = W.partitionBy("bucket")
     shared = posted.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low <> high")
     members = written(shared.select("bucket", "node", "size", "asked").distinct(), "members")
-    prefixes = written(members.groupBy("node").agg(F.collect_set("bucket").alias("prefix"), F.min("asked").alias("asked")), "prefixes")
-    first = heads.join(prefixes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # 32 bits of a shingle: an overlap counted with them can only be too large
+    prefixes = written(members.groupBy("node").agg(F.collect_set(F.col("bucket").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"), F.min("asked").alias("asked")), "prefixes")
+    first = written(heads.join(prefixes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The whole sets of some nodes, by one scan that skips other documents and shuffles no text."""
+        wanted = written(first.join(nodes, "node", "left_semi"), "wanted")
+        held = spark.sparkContext.broadcast(key_filter(wanted, "doc_id"))
 
-    def blob(sets: list[np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                some = batch.filter(pa.array(may_hold(held.value, batch.column("h").to_numpy())))
+                texts = some.column("text").to_pylist()
+                for begin, end in lots([len(t) for t in texts], AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(begin, end - begin), pa.array([s.tobytes() for s in shingle_sets(texts[begin:end], words)], pa.binary())], names=["doc_id", "shingles"])
 
-    wanted = rows.join(first.select("doc_id"), "doc_id", "left_semi")
-    sets = written(wanted.mapInArrow(_batches(blob, words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        found = rows.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
+        return written(found.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("node", "shingles"), "sets")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,13 +161,16 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     def verify(pairs: DataFrame) -> DataFrame:
         pa_, pb = (prefixes.select(F.col("node").alias(n), F.col("prefix").alias(f"p{n}"), F.col("asked").alias(f"l{n}")) for n in ("a", "b"))
-        enough = pairs.join(pa_, "a").join(pb, "b").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b")
+        enough = written(pairs.join(pa_, "a").join(pb, "b").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b"), "enough")
+        sets = sets_of(enough.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+        out = written(enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
+        discard(enough, sets)
+        return out
 
     alike = lambda x, y: F.least(f"{x}.size", f"{y}.size") * 100 >= F.greatest(f"{x}.size", f"{y}.size") * percent
     links = resolved(members.select("bucket", "node", "size"), verify, alike, leaders=4)
-    discard(members, prefixes, sets)
+    discard(members, prefixes, first)
     groups = components(links)
     discard(links)
     by_node = heads.groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null")
