@@ -108,12 +108,12 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.tables: list[str] = []
 
-    def store(self, df: DataFrame, key: str, dealt: bool = True) -> str:
-        """``df`` as a table bucketed by ``key``, each bucket sorted."""
+    def store(self, df: DataFrame, key: str, ordered: bool = True) -> str:
+        """``df`` as a table bucketed by ``key``, one file for each bucket, sorted unless rows are wide."""
         name = f"tankwatch_{uuid.uuid4().hex}"
-        if dealt:
-            df = df.repartition(self.buckets, key).sortWithinPartitions(key)
-        df.write.option("path", f"{self.home}/{name}").option("compression", "zstd").bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
+        df = df.repartition(self.buckets, key)
+        out = (df.sortWithinPartitions(key) if ordered else df).write.option("path", f"{self.home}/{name}").option("compression", "zstd").bucketBy(self.buckets, key)
+        (out.sortBy(key) if ordered else out).saveAsTable(name)
         self.tables.append(name)
         return name
 
@@ -160,10 +160,10 @@ def substring_dedup(docs: DataFrame, batches: int = 2, buckets: int | None = Non
     """
     spark = docs.sparkSession
     index = FingerprintIndex(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by_doc = FingerprintIndex(spark, min(index.buckets, 24))
+    by_doc = FingerprintIndex(spark, index.buckets)  # fewer buckets than shuffle partitions would be dealt anew by every join
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # each task writes its own file for each bucket, so the texts themselves are never shuffled
-    base = spark.table(by_doc.store(rows.mapInArrow(_survey, "doc_id long, text string, n_words long, whole string"), "doc_id", dealt=False))
+    # the texts are shuffled this once; all joins with them below find them dealt by id
+    base = spark.table(by_doc.store(rows.mapInArrow(_survey, "doc_id long, text string, n_words long, whole string"), "doc_id", ordered=False))
     # of equal texts the first alone is indexed: all windows of the others start in it as well
     firsts = written(base.where("doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "firsts")
     leading = firsts.select(F.col("first").alias("doc_id")).distinct()
