@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tankwatch.plans import q_basic
+from tankwatch.plans import q_basic, q_events, q_models
 
-QUERIES: dict = {**q_basic.QUERIES}
-SQL: dict = {**q_basic.SQL}
+QUERIES: dict = {**q_basic.QUERIES, **q_events.QUERIES, **q_models.QUERIES}
+SQL: dict = {**q_basic.SQL, **q_events.SQL, **q_models.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["t10_preprocess"](spark, sf_dir)
+    return QUERIES["r1_event_summary"](spark, sf_dir)
