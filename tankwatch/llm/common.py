@@ -77,8 +77,8 @@ def key_filter(keys: DataFrame, key: str, hashed: bool = False):
     bit = F.explode(F.array(h.bitwiseAND(F.lit(FILTER - 1)), F.shiftright(h, 30).bitwiseAND(F.lit(FILTER - 1))))
     words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     out = np.zeros(FILTER // 64, dtype=np.int64)
-    got = words.toPandas()  # FILTER / 64 rows at most
-    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
+    got = words.toArrow()  # FILTER / 64 rows at most
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
     return out.view(np.uint8)
 
 

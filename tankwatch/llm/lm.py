@@ -247,9 +247,11 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     model = Model(blocks, n, v, min(0.95, max(0.0, again / max(n, 1))))
     small = v * 16 <= limit
     if small:
-        table = words.toPandas()  # two numbers for a word, checked to be within the limit
-        order = np.argsort(table["hash"].to_numpy().view(np.uint64))
-        exact = spark.sparkContext.broadcast((table["hash"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]))
+        table = words.select("hash", "n").toArrow()  # two numbers for a word, checked to be within the limit
+        keys, times = (table.column(c).to_numpy() for c in ("hash", "n"))
+        order = np.argsort(keys.view(np.uint64))
+        exact = spark.sparkContext.broadcast((keys.view(np.uint64)[order], times[order]))
+        del table, keys, times, order
     parts = _parts(stored, blocks, limit)
     part, following = next(parts), next(parts, None)
     coded = rows.withColumn("codes", F.lit(None).cast("binary"))
