@@ -347,3 +347,101 @@ def x1(spark, d):
     q = streams.stateful_segments(stream, SCALED, "3650 days").writeStream.format("parquet").option("checkpointLocation", _path(spark, "state")).option("path", out).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(streams.SEGMENT).parquet(out).select("vehicle_id", "start_time", "end_time", "is_ign_off")
+
+
+@query("s3_tolerant_scan", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
+def s3(spark, d):
+    path = _csv(spark, d)
+    good, _ = ingest.read_tolerant(spark, path, spark.read.csv(path, header=True).schema)
+    return good.select("ref")
+
+
+@query("s5_glob", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
+def s5(spark, d):
+    return ingest.read_csv(spark, f"{_csv(spark, d)}/part-*.csv").select("ref")
+
+
+@query("s8_load_events", f"WITH {EV} SELECT vehicle_id, date_trunc('second', start_time) AS start_time, date_trunc('second', end_time) AS end_time, pattern FROM ev")
+def s8(spark, d):
+    path = _path(spark, "events")
+    found(spark, d).select("vehicle_id", "start_time", "end_time", "pattern").write.option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
+    return ingest.load_events(spark, path)
+
+
+@query("s10_report_sink", f"WITH {TEL} SELECT count(*) AS n_rows, count(DISTINCT vehicle_id) AS n_vehicles FROM tel")
+def s10(spark, d):
+    path = _path(spark, "report")
+    ingest.save_report(quality.quality_report(telemetry(spark, d)), path)
+    return spark.read.json(path).select("n_rows", "n_vehicles")
+
+
+@query("j2_combine", "SELECT vehicle_id, count(*) AS n FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS vehicle_id, ts FROM events) GROUP BY vehicle_id")
+def j2(spark, d):
+    t = telemetry(spark, d)
+    return ingest.combine([t, telemetry(spark, d, gaps=True).drop("stationary_drain")], F.lit("2100-01-01").cast("timestamp"), SCALED).groupBy("vehicle_id").agg(F.count("*").alias("n"))
+
+
+@query("j13_split_mapping", f"WITH {EV}, {SPLIT} SELECT e.vehicle_id, e.start_time, e.end_time, e.pattern, make_timestamp((epoch_us(e.start_time) + epoch_us(e.end_time)) // 2) <= cut AS is_train FROM ev e JOIN cuts USING (vehicle_id)")
+def j13(spark, d):
+    return mapped(spark, d).select("vehicle_id", "start_time", "end_time", "pattern", "is_train")
+
+
+@query("k7_stratified_split", f"WITH {TEL}, q AS (SELECT vehicle_id, quantile_cont(CAST(epoch_us(timestamp) AS DOUBLE), 0.8) AS cut FROM tel GROUP BY vehicle_id) SELECT event_id, epoch_us(timestamp) <= cut AS is_train FROM tel JOIN q USING (vehicle_id)")
+def k7(spark, d):
+    """Without a rule of its own: the quantile split."""
+    return splits.quantile_split(telemetry(spark, d)).select("event_id", "is_train")
+
+
+@query("m5_boosted_deep")
+def m5(spark, d):
+    return _scores(spark, d, ("boosted_deep",))
+
+
+@query("m7_isotonic")
+def m7(spark, d):
+    s = _set(spark, d)
+    train = s.where("is_train")
+    model = models.calibrate(train, [*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(train.count())], 3, "isotonic")
+    return models.predict({"logistic": model}, s.where("not is_train"))
+
+
+@query("m32_training_job")
+def m32(spark, d):
+    """Split, detect, label, features, train, evaluate on the test side."""
+    return models.evaluate(_scores(spark, d, ("logistic", "random_forest", "boosted")))
+
+
+@query("m33_evaluation_job")
+def m33(spark, d):
+    """The best model by average precision, with its calibration error."""
+    s = _scores(spark, d, ("logistic", "boosted"))
+    best = reports.top(metrics.average_precision(s, ["model"]), "pr_auc", 1, ["model"])
+    return metrics.calibration_error(s, 10, ["model"]).join(best, "model")
+
+
+@query("i1_score_telemetry")
+def i1(spark, d):
+    m, s = _trained(spark, d, ("boosted",))
+    norms = models.stored(features.fit_norms(s.where("is_train")))
+    return scoring.score_telemetry(m["boosted"], telemetry(spark, d), norms, [*NUM, *BIN, "pattern"], SCALED).select("vehicle_id", "start_time", "end_time", "pattern", "score", "is_theft", "risk_level")
+
+
+@query("i10_micro_batches", "SELECT CAST(count(*) AS BIGINT) AS n_events FROM events")
+def i10(spark, d):
+    src, out = _path(spark, "in"), _path(spark, "out")
+    rows = scored(spark, d)
+    rows.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.run_batches(stream, lambda df, batch: scoring.decide(df.withColumn("pattern", F.lit("short_stationary"))), out, _path(spark, "state"))
+    return spark.read.parquet(f"{out}/batches").agg(F.sum("n_events").alias("n_events"))
+
+
+@query("x2_late_data", "SELECT CAST(user_id AS VARCHAR) AS vehicle_id, ts AS timestamp FROM events")
+def x2(spark, d):
+    """A stream that holds every row twice, read to its end."""
+    t = telemetry(spark, d).select("vehicle_id", "timestamp")
+    src, out = _path(spark, "in"), _path(spark, "out")
+    t.union(t).write.parquet(src)
+    stream = spark.readStream.schema(t.schema).parquet(src)
+    streams.deduplicated(stream, "3650 days").writeStream.format("parquet").option("checkpointLocation", _path(spark, "state")).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(t.schema).parquet(out)
