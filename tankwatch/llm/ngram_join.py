@@ -169,7 +169,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         return out
 
     alike = lambda x, y: F.least(f"{x}.size", f"{y}.size") * 100 >= F.greatest(f"{x}.size", f"{y}.size") * percent
-    links = resolved(members.select("bucket", "node", "size"), verify, alike, leaders=4)
+    links = resolved(members.select("bucket", "node", "size"), verify, alike, leaders=10)
     discard(members, prefixes, first)
     groups = components(links)
     discard(links)
