@@ -75,6 +75,20 @@ def test_op1_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.fit(df.where("toxic = 0"))).where("predicted = 1").count() == 0
 
 
+def test_op1_every_unit_meets_the_kernel():
+    marks = ["loser", "trash", "pathetic", "disgusting", "worthless", "stupid", "clown", "\u6ce8\u610f\u529b"]
+    own, weights = toxicity.self_kernel(marks), np.linspace(1.0, 2.0, len(marks))
+    model = toxicity.Model(marks, own, weights, -0.1)
+    gapped = [fill.join(w) for w in marks for fill in ("x", "7", "xq", "4z", "")] + ["", "a", "loserloserloserloser", "house", "\u6ce8x\u610fx\u529b"]
+    want = toxicity.similarity(gapped, marks, own) @ weights - 0.1
+    assert np.allclose(model.units(gapped), want, atol=1e-4)
+    for fill in ("x", "7", "xq", "4z"):
+        assert all(f > toxicity.FLOOR for f in model.units([fill.join(w) for w in marks]))
+    sparse = toxicity.Subsequences(marks, own, weights)
+    sparse.keys, sparse.values = np.flatnonzero(sparse.values), sparse.values[np.flatnonzero(sparse.values)]
+    assert np.allclose(sparse(gapped) - 0.1, want, atol=1e-4)
+
+
 def test_op2_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))
