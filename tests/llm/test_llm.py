@@ -89,6 +89,27 @@ def test_op1_every_unit_meets_the_kernel():
     assert np.allclose(sparse(gapped) - 0.1, want, atol=1e-4)
 
 
+def test_op1_learns_a_long_tail(spark):
+    rng = np.random.default_rng(3)
+    common_words = ["".join(rng.choice(list("aeilnorst"), size=7)) for _ in range(3000)]
+    letters = list("bcdfgjkmpquvwxyz")
+    tail = ["".join(rng.choice(letters, size=6)) for _ in range(80)]  # each in 7 of 560 toxic documents, 1.25 %
+    rows = []
+    for k in range(4000):
+        words = rng.choice(common_words, size=40).tolist()
+        if k < 560:
+            words.insert(int(rng.integers(0, 40)), tail[k % 80])
+        rows.append((k, " ".join(words), int(k < 560)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df)
+    assert model.units(tail).min() > model.units(common_words[:200]).max()
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert sum(got[k] for k in range(560)) >= 550 and sum(got[k] for k in range(560, 4000)) <= 34
+    strings = [f"{a}{b}" for a in ("stupid", "clown", "loser") for b in ("", "s", "ish")] + ["unlike"]
+    marks = toxicity._cover(strings, list(range(1, 11)))
+    assert (toxicity.similarity(strings, marks).max(axis=1) >= toxicity.NEAR).all() and len(marks) < len(strings)
+
+
 def test_op2_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))
