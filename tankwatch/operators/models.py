@@ -205,10 +205,10 @@ def per_pattern(scores: DataFrame, fallback: float = 0.5, fpr: float = 0.05, lea
     return evaluate(scores.join(ok, "pattern", "left_semi"), fpr, ["pattern"])
 
 
-def pattern_models(df: DataFrame, numeric: list[str], binary: list[str], least: int = 30, positives: int = 5, quick: bool = True) -> dict:
+def pattern_models(df: DataFrame, numeric: list[str], binary: list[str], least: int = 30, positives: int = 5, quick: bool = True, folds: int = 3) -> dict:
     """A model for each pattern with enough rows and positives; others are skipped."""
     sizes = df.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()  # a row for each pattern
-    return {r.pattern: m["logistic"] for r in sizes if r.n >= least and (r.p or 0) >= positives for m in [train_all(df.where(F.col("pattern") == r.pattern), numeric, binary, [], 3, quick, ["logistic"])] if m}
+    return {r.pattern: m["logistic"] for r in sizes if r.n >= least and (r.p or 0) >= positives for m in [train_all(df.where(F.col("pattern") == r.pattern), numeric, binary, [], folds, quick, ["logistic"])] if m}
 
 
 def blend(scores: DataFrame, how: str = "mean", weights: dict[str, float] | None = None, key: str = "event_key") -> DataFrame:

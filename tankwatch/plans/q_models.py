@@ -141,9 +141,13 @@ def _set(spark, d) -> DataFrame:
 NUM, BIN = ["drop_gal", "duration_min", "min_step_gal", "n_negative_steps", "rate_gpm", "log_duration"], ["is_night", "is_weekend"]
 
 
+#: The reference's sizes: calibration folds, and trees of the isolation forest.
+FOLDS, ISOLATION_TREES = 5, 200
+
+
 def _trained(spark, d, names=("logistic",)):
     s = _set(spark, d)
-    m = models.train_all(s.where("is_train"), NUM, BIN, ["pattern"], 3, True, list(names))
+    m = models.train_all(s.where("is_train"), NUM, BIN, ["pattern"], FOLDS, False, list(names))
     return m, s
 
 
@@ -169,7 +173,7 @@ def m4(spark, d):
 
 @query("m6_isolation_forest")
 def m6(spark, d):
-    return models.isolation_scores(_set(spark, d), NUM, trees=25)
+    return models.isolation_scores(_set(spark, d), NUM, trees=ISOLATION_TREES)
 
 
 @query("m8_temperature")
@@ -187,7 +191,7 @@ def m10(spark, d):
 @query("m11_pattern_models")
 def m11(spark, d):
     s = _set(spark, d)
-    own = models.pattern_models(s.where("is_train"), NUM, BIN)
+    own = models.pattern_models(s.where("is_train"), NUM, BIN, folds=FOLDS, quick=False)
     parts = [models.predict({k: m}, s.where((F.col("pattern") == k) & ~F.col("is_train"))) for k, m in own.items()]
     return ingest.union(parts) if parts else s.select("event_key", "y", "pattern", F.col("pattern").alias("model"), F.lit(0.5).alias("score")).where("false")
 
@@ -401,7 +405,7 @@ def m5(spark, d):
 def m7(spark, d):
     s = _set(spark, d)
     train = s.where("is_train")
-    model = models.calibrate(train, [*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(train.count())], 3, "isotonic")
+    model = models.calibrate(train, [*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(train.count())], FOLDS, "isotonic")
     return models.predict({"logistic": model}, s.where("not is_train"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tankwatch.functions import parse
 from tankwatch.functions.geo import haversine
-from tankwatch.operators import detection, hotspots, metrics, quality, signal, splits
+from tankwatch.operators import detection, hotspots, metrics, models, quality, signal, splits
 from tankwatch.params import Clustering, Detection
-from tankwatch.plans import q_events
+from tankwatch.plans import q_events, q_models
 from tankwatch.sources import ingest
 
 T0 = dt.datetime(2025, 1, 15, 8, 0)
@@ -154,3 +154,36 @@ def test_leak_is_an_error(spark):
 def test_no_events_without_segments(spark):
     t = signal.derive(telemetry(spark, [50.0] * 30, speed=[60.0] * 30))
     assert detection.detect(t, Detection()).count() == 0
+
+
+class _Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["m3", "m4", "m6", "m7", "m11", "m29"])
+def test_queries_fit_in_full_size(spark, monkeypatch, name):
+    events = spark.createDataFrame([(k, "short", k % 2, True, 0.5) for k in range(60)], "event_key long, pattern string, y int, is_train boolean, drop_gal double")
+    asked = {}
+
+    def note(kind):
+        def stop(*args, **kwargs):
+            asked[kind] = (args, kwargs)
+            raise _Asked
+        return stop
+
+    monkeypatch.setattr(q_models, "_set", lambda spark, d: events)
+    monkeypatch.setattr(q_events, "scored", lambda spark, d: events)
+    for module, kind in ((models, "train_all"), (models, "calibrate"), (models, "isolation_scores"), (metrics, "bootstrap")):
+        monkeypatch.setattr(module, kind, note(kind))
+    query = next(q for k, q in {**q_models.QUERIES, **q_events.QUERIES}.items() if k.split("_")[0] == name)
+    with pytest.raises(_Asked):
+        query(spark, "")
+    (kind, (args, kwargs)), = asked.items()
+    if kind == "train_all":
+        assert args[4:6] == (5, False)
+    elif kind == "calibrate":
+        assert args[2] == 5
+    elif kind == "isolation_scores":
+        assert kwargs["trees"] == 200
+    else:
+        assert args[2] == 1000
