@@ -21,7 +21,7 @@ from tankwatch.llm.common import written
 from tankwatch.llm.wordhash import lots, mixed, word_hashes
 
 #: Base of the count levels, hash functions for each level, and the least count of a pair that is stored.
-BASE, HASHES, CUTOFF = 1.5, 6, 2
+BASE, HASHES, CUTOFF = 1.5, 6, 1
 #: Up to this many bytes are broadcast at once: a larger filter is probed in several passes of that size,
 #: and a larger word table is joined.
 BROADCAST_BYTES = 96 << 20
@@ -66,10 +66,14 @@ class LogFilter:
     words: np.ndarray = field(repr=False)
 
     @staticmethod
-    def places(h: np.ndarray, q: int, bits: np.ndarray) -> np.ndarray:
+    def turns(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
         a = mixed(h + np.uint64((q * 0xA24BAED4963EE407) & (2**64 - 1)))
-        b = (a >> np.uint64(32)) | np.uint64(1)
-        return ((a & np.uint64(0xFFFFFFFF))[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) % np.maximum(bits, 1).astype(np.uint64)[None, :]
+        return a & np.uint64(0xFFFFFFFF), (a >> np.uint64(32)) | np.uint64(1)
+
+    @staticmethod
+    def places(h: np.ndarray, q: int, bits: np.ndarray) -> np.ndarray:
+        a, b = LogFilter.turns(h, q)
+        return (a[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) % np.maximum(bits, 1).astype(np.uint64)[None, :]
 
     def levels(self, h: np.ndarray, word: bool) -> np.ndarray:
         """The highest level up to which all keys are present; 0 for blocks that this part of the filter lacks."""
@@ -78,12 +82,14 @@ class LogFilter:
         open_ = np.flatnonzero(self.bits[block] > 0)
         q = 1
         while len(open_):
+            a, b = self.turns(h[open_], q)
             own = block[open_]
-            at, held = self.places(h[open_], q, self.bits[own]), np.ones(len(open_), dtype=bool)
-            for row in at:
-                bit = self.starts[own] + row.astype(np.int64)
-                held &= (self.words[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            open_ = open_[held]
+            first, size = self.starts[own], self.bits[own].astype(np.uint64)
+            for k in range(HASHES):  # most keys that are missing go at the first bits
+                bit = first + ((a + np.uint64(k) * b) % size).astype(np.int64)
+                held = (self.words[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if not held.all():
+                    open_, a, b, first, size = open_[held], a[held], b[held], first[held], size[held]
             out[open_] = q
             q += 1
             if q >= len(LEVELS):
@@ -218,9 +224,10 @@ class Model:
 
 
 def _codes(part: LogFilter, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of each token's pair and of each token; every distinct word is probed once."""
+    """Levels of each token's pair and of each token; every distinct one is probed once."""
     words, inverse = np.unique(h, return_inverse=True)
-    return part.levels(pairs(h, counts), False).astype(np.uint8), part.levels(mixed(words), True).astype(np.uint8)[inverse]
+    both, back = np.unique(pairs(h, counts), return_inverse=True)
+    return part.levels(both, False).astype(np.uint8)[back], part.levels(mixed(words), True).astype(np.uint8)[inverse]
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:

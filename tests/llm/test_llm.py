@@ -153,6 +153,12 @@ def test_op4_lm(spark, docs, odd, none):
     assert all(r.n_known == 0 for r in lm.score(docs, none).collect())
 
 
+def test_op4_counts_pairs_seen_once(spark):
+    train = spark.createDataFrame([(1, "red fox"), (2, "old owl"), (3, "old hen"), (4, "red cat"), (5, "we met again"), (6, "we met again")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame([(1, "red fox"), (2, "red owl")], "doc_id long, text string"), train).collect()}
+    assert got[1] > got[2] + 0.1  # fox and owl are equally frequent; only the pair "red fox" was seen, once
+
+
 def test_op5_url_filter(spark):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     urls = ["http://a.example.com/en/7x", "https://EXAMPLE.com/en/6", "http://notexample.com/en/7", "http://x.net/de/8", "http://example.net/de/81?q#f", "http://a.org/es", "com/en/", None, "http://", "http://com/en/", "http://a.org?x=/es/", "http://a.b/en/#://"]
