@@ -261,6 +261,10 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         del table, keys, times, order
     parts = _parts(stored, blocks, limit)
     part, following = next(parts), next(parts, None)
+    if not small:  # 128 bits of the id and the text name a row: null and repeated ids may have other texts
+        rows = rows.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("text"), F.col("text"), F.lit("id"), F.col("doc_id")).alias("k2"))
+    names = [] if small else ["k1", "k2"]
+    kinds = "".join(f", {c} long" for c in names)
     coded = rows.withColumn("codes", F.lit(None).cast("binary"))
 
     def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -284,9 +288,9 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 for begin, end, h, counts in texts_of(batch):
                     both = np.stack(levels(held, batch, begin, end, h, counts), axis=1)
                     codes = [c.tobytes() for c in np.split(both, np.cumsum(counts)[:-1])]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin), pa.array(codes, pa.binary())], names=["doc_id", "text", "codes"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin), pa.array(codes, pa.binary()), *(batch.column(c).slice(begin, end - begin) for c in names)], names=["doc_id", "text", "codes", *names])
 
-        coded = written(coded.mapInArrow(probe, "doc_id long, text string, codes binary"), "codes")
+        coded = written(coded.mapInArrow(probe, f"doc_id long, text string, codes binary{kinds}"), "codes")
         part, following = following, next(parts, None)
     held = spark.sparkContext.broadcast(part)
 
@@ -308,18 +312,19 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                     cols += [pa.array(sums((c > 0)[inverse].astype(np.int64))), pa.array(sums(logs[inverse]))]
                 else:
                     cols += [pa.array(np.zeros(len(counts), np.int64)), pa.array(np.zeros(len(counts)))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *cols], names=["doc_id", "n_tokens", "score", "n_known", "base_score"])
+                cols += [batch.column(c).slice(begin, end - begin) for c in names]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *cols], names=["doc_id", "n_tokens", "score", "n_known", "base_score", *names])
 
     ends = words.where(F.col("hash") == int(END.astype(np.int64) if END < 2**63 else int(END) - 2**64)).select("n").first()
     held_start = level(np.array([ends.n if ends else 0]))[0]
-    out = coded.mapInArrow(final, "doc_id long, n_tokens long, score double, n_known long, base_score double")
+    out = coded.mapInArrow(final, f"doc_id long, n_tokens long, score double, n_known long, base_score double{kinds}")
     if not small:
-        out = out.drop("n_known", "base_score").join(_by_join(rows, words, n, v), F.expr("doc_id <=> _doc")).drop("_doc")
+        out = out.drop("n_known", "base_score").join(_by_join(rows, words, n, v), ["k1", "k2"])
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _by_join(rows: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
-    """Exact counts by a join on words, for tables that are too large to broadcast."""
+    """Exact counts ``(k1, k2, n_known, base_score)`` by a join on words, for tables that are too large to broadcast."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,8 +335,8 @@ def _by_join(rows: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
                 order = np.lexsort((h, owner))
                 h, owner = h[order], owner[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin).take(pa.array(owner[first])), pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]))], names=["_doc", "hash", "times"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, end - begin).take(pa.array(owner[first])) for c in ("k1", "k2")), pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]))], names=["k1", "k2", "hash", "times"])
 
-    each = rows.dropDuplicates(["doc_id"]).mapInArrow(spread, "_doc long, hash long, times long").join(words, "hash", "left")
+    each = rows.dropDuplicates(["k1", "k2"]).mapInArrow(spread, "k1 long, k2 long, hash long, times long").join(words, "hash", "left")
     c = F.coalesce("n", F.lit(0))
-    return each.groupBy("_doc").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("base_score"))
+    return each.groupBy("k1", "k2").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("base_score"))

@@ -159,6 +159,14 @@ def test_op4_counts_pairs_seen_once(spark):
     assert got[1] > got[2] + 0.1  # fox and owl are equally frequent; only the pair "red fox" was seen, once
 
 
+def test_op4_joined_rows_keep_their_own_text(spark):
+    train = spark.createDataFrame([(k, f"w{k} w{k + 1} a b") for k in range(200)], "doc_id long, text string")
+    rows = spark.createDataFrame([(None, "a b w1 w2 w3"), (None, "zz yy"), (None, None), (5, "a"), (5, "w7 b zz qq"), (5, "a"), (6, "")], "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8))
+    whole, joined = (sorted(map(key, lm.score(rows, train, limit=m).collect())) for m in (1 << 26, 600))
+    assert joined == whole and len(whole) == 7
+
+
 def test_op5_url_filter(spark):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     urls = ["http://a.example.com/en/7x", "https://EXAMPLE.com/en/6", "http://notexample.com/en/7", "http://x.net/de/8", "http://example.net/de/81?q#f", "http://a.org/es", "com/en/", None, "http://", "http://com/en/", "http://a.org?x=/es/", "http://a.b/en/#://"]
