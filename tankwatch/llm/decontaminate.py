@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders; windows of the resulting templates are hash-joined with the
 benchmark's, and the values behind the placeholders must correspond one to one. So a question is also found when
-its numbers or names were exchanged.
+its numbers or names were exchanged. What matches word for word counts without regard to placeholders.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tankwatch.llm.common import written
 
-#: Words in a window, words of it that must not be placeholders, and the share of an item's windows to be found.
-WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Words in a window, plain words from which on its values may be others, the share of an item's windows to be
+#: found, and the verbatim words in a row that are enough.
+WINDOW, LITERALS, COVERAGE, RUN = 8, 4, 0.5, 13
 #: Benchmarks of up to this many windows are broadcast; larger ones are joined by shuffling.
 BROADCAST_WINDOWS = 500_000
 _UNITS = "kg mg km cm mm ml lb lbs oz mph kmh kwh hz ghz mhz percent dollar dollars euro euros cent cents pound pounds meter meters metre metres kilometer kilometers mile miles inch inches foot feet yard yards gram grams kilogram kilograms liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years degree degrees".split()
@@ -54,23 +55,24 @@ def _pattern(slots: Column) -> Column:
     return F.transform(slots, lambda s: F.array_position(slots, s))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, verbatim or with other values.
 
-    Returns ``doc_id, item_id, n_windows, item_windows, verbatim``: how many of the item's windows were found with
-    corresponding values, how many it has, and whether all values were the item's own. A pair is reported from
-    ``coverage`` of the item's windows on. Items of fewer words than ``window`` count as one window of their own
-    length; windows with fewer than ``literals`` plain words (or all words of a shorter item) are left out, and
-    items without any window are never found. Null or empty texts and null ids hold nothing; repeated rows of an id
-    count once; other columns are not read.
+    Returns ``doc_id, item_id, n_windows, item_windows, verbatim``: how many of the item's windows were found word for
+    word or with corresponding values, how many it has, and whether all that were found are word for word. A pair is
+    reported from ``coverage`` of the item's windows on (of all, or of those with ``literals`` plain words), or from
+    ``run`` words in a row that are the item's own. Windows with fewer than ``literals`` plain words are found word for
+    word only. Values that do not correspond one to one leave out the windows that hold them, unless these match word
+    for word. Items of fewer words than ``window`` count as one window of their own length. Null or empty texts and null
+    ids hold nothing; repeated rows of an id count once; other columns are not read.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), marked_words(F.col(item_text_col)).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     sized = items.withColumn("w", F.least(F.col("n"), F.lit(window)))
     spread = sized.select("item_id", "w", "words", _hashes(F.col("words")).alias("hashes"), F.explode(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)).alias("at"))
-    own = spread.select("item_id", "w", "at", F.slice("hashes", F.col("at"), F.col("w")).alias("part"), F.filter(F.slice("words", F.col("at"), F.col("w")), lambda x: _kind(x) != 0).alias("item_slots"))
-    usable = own.where(F.size(F.filter("part", lambda h: ~h.isin(1, 2, 3))) >= F.least(F.lit(literals), F.col("w")))
-    index = written(usable.select("item_id", "w", "at", F.xxhash64("part").alias("hash"), "item_slots"), "benchmark-windows")
-    totals = index.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
+    own = spread.distinct().select("item_id", "w", "at", F.slice("hashes", F.col("at"), F.col("w")).alias("part"), F.slice("words", F.col("at"), F.col("w")).alias("own"), F.filter(F.slice("words", F.col("at"), F.col("w")), lambda x: _kind(x) != 0).alias("item_slots"))
+    plain = F.size(F.filter("part", lambda h: ~h.isin(1, 2, 3))) >= F.least(F.lit(literals), F.col("w"))
+    index = written(own.select("item_id", "w", "at", plain.alias("plain"), F.xxhash64("part").alias("hash"), F.xxhash64("own").alias("exact"), "item_slots"), "benchmark-windows")
+    totals = index.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if("plain").alias("item_plain"))
     lengths = sorted(r.w for r in index.select("w").distinct().collect())  # at most `window` of them
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     worded = rows.select("doc_id", marked_words(F.col("text")).alias("words"))
@@ -80,23 +82,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     if lengths == [window]:  # the usual case needs no struct for each window
         spots = hashed.select("doc_id", "words", F.posexplode(F.transform(_windows(F.size("hashes"), window), lambda i: F.xxhash64(F.slice("hashes", i, window)))).alias("place", "hash")).select("doc_id", "words", F.lit(window).alias("w"), (F.col("place") + 1).alias("place"), "hash")
     else:
-        every = F.flatten(F.array(*[F.transform(_windows(F.size("hashes"), w), lambda i, w=w: F.struct(F.lit(w).alias("w"), i.alias("place"), F.xxhash64(F.slice("hashes", i, w)).alias("hash"))) for w in lengths]))
+        spot = lambda w: lambda i: F.struct(F.lit(w).alias("w"), i.alias("place"), F.xxhash64(F.slice("hashes", i, w)).alias("hash"))
+        every = F.flatten(F.array(*[F.transform(_windows(F.size("hashes"), w), spot(w)) for w in lengths]))  # a second argument of the inner one would be the index
         spots = hashed.select("doc_id", "words", F.explode(every).alias("s")).select("doc_id", "words", "s.w", "s.place", "s.hash")
     # one entry for a hash, however many items have it: the join with the documents then makes no copies
-    keys = index.select("hash", "w").distinct()
-    slots = F.filter(F.slice("words", F.col("place"), F.col("w")), lambda x: _kind(x) != 0).alias("slots")
+    keys = index.groupBy("hash", "w").agg(F.bool_or("plain").alias("plain"), F.collect_set(F.when(~F.col("plain"), F.col("exact"))).alias("exacts"))
+    part = F.slice("words", F.col("place"), F.col("w"))
+    slots = F.filter(part, lambda x: _kind(x) != 0).alias("slots")
+    # a window of few plain words goes by the hash of the words themselves
+    own_key = F.when(F.col("plain"), F.col("hash")).otherwise(F.xxhash64(part)).alias("key")
+    fits = F.col("plain") | F.array_contains("exacts", F.xxhash64(part))
     if index.count() <= broadcast_windows:
         # windows meet the benchmark where they arise; only those that it has are ever moved
-        found = written(spots.join(F.broadcast(keys), ["hash", "w"]).select("doc_id", "place", "w", "hash", slots).distinct(), "hits")
+        met = spots.join(F.broadcast(keys), ["hash", "w"])
     else:
         hits = written(spots.drop("words").join(keys, ["hash", "w"]).distinct(), "hits")
-        found = worded.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "place", "w", "hash", slots)
-    pairs = found.join(index, ["hash", "w"]).where(_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.collect_set("at").alias("ats"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))))).alias("values"),
+        met = worded.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").join(hits, "doc_id")
+    found = written(met.where(fits).select("doc_id", "place", "w", own_key, slots).distinct(), "found")
+    keyed = index.withColumn("key", F.when(F.col("plain"), F.col("hash")).otherwise(F.col("exact")))
+    pairs = found.join(keyed, ["key", "w"]).where(_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
+    values = F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
+    aligned = pairs.withColumns({"values": values, "same": F.col("slots") == F.col("item_slots")}).where("plain or same").groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
+        F.collect_set(F.struct("at", "plain", "same", "values")).alias("windows"),
+        F.array_distinct(F.flatten(F.collect_set("values"))).alias("all"),
     )
-    ours, theirs = F.transform("values", lambda v: v["ours"]), F.transform("values", lambda v: v["theirs"])
-    fitting = aligned.where((F.size(F.array_distinct(ours)) == F.size("values")) & (F.size(F.array_distinct(theirs)) == F.size("values")))
-    scored = fitting.withColumn("same", F.forall("values", lambda v: v["ours"] == v["theirs"])).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.bool_and("same").alias("verbatim"))
-    return scored.join(totals, "item_id").where(F.col("n_windows") >= F.col("item_windows") * coverage).select("doc_id", "item_id", "n_windows", "item_windows", "verbatim")
+    torn = lambda v: F.size(F.filter("all", lambda u: (u["theirs"] == v["theirs"]) | (u["ours"] == v["ours"]))) > 1
+    fitting = aligned.withColumn("torn", F.filter("all", torn)).withColumn("windows", F.filter("windows", lambda x: x["same"] | ~F.arrays_overlap(x["values"], F.col("torn"))))
+    at_of = lambda name: F.transform(F.filter("windows", lambda x: x[name]), lambda x: x["at"])
+    step = max(run - window, 0)
+    literal = F.col("literal")
+    in_row = F.when(F.size(literal) > step, F.exists(F.sequence(F.lit(0), F.size(literal) - 1 - step), lambda i: F.get(literal, i + step) - F.get(literal, i) == step)).otherwise(False)
+    each = fitting.where(F.size("windows") > 0).withColumns({"ats": F.transform("windows", lambda x: x["at"]), "plains": at_of("plain"), "literal": F.array_sort(F.array_distinct(at_of("same")))}).withColumns({"in_row": in_row, "same": F.forall("windows", lambda x: x["same"])})
+    union = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
+    scored = each.groupBy("doc_id", "item_id").agg(union("ats").alias("n_windows"), union("plains").alias("n_plain"), F.bool_or("in_row").alias("in_row"), F.bool_and("same").alias("verbatim"))
+    enough = (F.col("n_windows") >= F.col("item_windows") * coverage) | ((F.col("n_plain") > 0) & (F.col("n_plain") >= F.col("item_plain") * coverage)) | F.col("in_row")
+    return scored.join(totals, "item_id").where(enough).select("doc_id", "item_id", "n_windows", "item_windows", "verbatim")

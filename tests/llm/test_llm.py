@@ -224,6 +224,19 @@ def test_op7_decontaminate(spark, docs, odd, none, sf):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_op7_parts_numbers_and_changed_values(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "st", "nd", "sk", "mp", "lt", "rn", "ft", "pt", "ng", "nk", "rm", "lf", "lp", "rd")]
+    long, twice = " ".join(words), " ".join(w if k % 9 else "12" for k, w in enumerate(words[:60]))
+    items = spark.createDataFrame([(1, long), (2, "Compute 12 + 45 * 3 - 7"), (3, "4 kg 5 km 6 mm 7 cm 8 lb 9 oz 10 mph"), (4, twice)], "item_id long, text string")
+    texts = spark.createDataFrame([
+        (1, "before it " + " ".join(words[200:350]) + " after it"), (2, "So: compute 12 + 45 * 3 - 7 now"), (3, "so 4 kg 5 km 6 mm 7 cm 8 lb 9 oz 10 mph now"),
+        (4, "it is " + twice[: twice.rindex("12")] + "13" + twice[twice.rindex("12") + 2 :]), (5, "So: compute 13 + 45 * 3 - 7 now"), (6, "so 5 kg 5 km 6 mm 7 cm 1 lb 9 oz 11 mph now"), (7, " ".join(words[200:210])),
+    ], "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(texts, items, broadcast_windows=limit).collect()}
+        assert {(1, 1), (2, 2), (3, 3), (4, 4)} == got
+
+
 def test_op8_substrings(spark, docs, odd):
     both = docs.union(odd.where("doc_id > 3").select(F.col("doc_id") + 10_000, "text"))
     seen, want = {}, {}
