@@ -1,25 +1,59 @@
-"""Word hashes for the operators that work on word windows: the same in every process and on every machine."""
+"""Word hashes for the operators that work on word windows: the same in every process and on every machine.
+
+All words of many texts are hashed at once, as polynomials in their bytes, so nothing is remembered between calls and
+memory is bounded by the texts at hand.
+"""
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 
-CACHE = 700_000
-_known: dict[bytes, int] = {}
+#: Bytes that are hashed at once, unless a word is longer.
+PIECE = 1 << 16
+_STEP = 0x9E3779B97F4A7C15
+_LETTER = np.random.default_rng(11).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts (longest runs without ASCII white space), and words by text."""
-    split = [t.split() for t in texts]
-    if len(_known) > CACHE:
-        _known.clear()
-    for w in set().union(*split).difference(_known) if split else ():
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    return np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum())), counts
+    flat = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)  # every text ends with a space
+    if not len(flat):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    space = _IS_SPACE[flat]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[0::2], edges[1::2]
+    until = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1))
+    counts = np.diff(until, prepend=0)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+        size = int(ends[upto - 1]) - base
+        up, down = _powers(1 << max(PIECE, size).bit_length())
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(np.take(_LETTER, flat[base : base + size], mode="clip") * up[:size], out=total[1:])
+        first, last = starts[at:upto] - base, ends[at:upto] - base
+        out[at:upto] = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
+        at = upto
+    return mixed(out), counts
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -34,7 +68,8 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n > 0:
         for k in range(size):
-            out[:n] = out[:n] * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+            out[:n] *= np.uint64(_STEP)
+            out[:n] += h[k : k + n]
     return mixed(out)
 
 
