@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the sources write for on and off, and for labels.
-ON_WORDS = ("true", "yes", "y", "on", "1", "encendido", "si", "sí", "s")
-OFF_WORDS = ("false", "no", "n", "off", "0", "apagado")
+ON_WORDS = ("1", "true", "on", "encendido", "si", "sí", "yes")
+OFF_WORDS = ("0", "false", "off", "apagado", "no")
 LABEL_WORDS = ("1", "true", "yes", "si", "sí")
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd.MM.yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy")
 

@@ -72,10 +72,13 @@ def p5(spark, d):
     return raw(spark, d).select("event_id", parse.speed(F.col("speed")).alias("speed_kmh"))
 
 
-@query("p6_ignition", f"""WITH {RAW} SELECT event_id, coalesce(CASE WHEN lower(trim(ign)) IN ('true','yes','y','on','1','encendido','si','sí','s') THEN true
-    WHEN lower(trim(ign)) IN ('false','no','n','off','0','apagado') THEN false ELSE try_cast(trim(ign) AS DOUBLE) > 0 END, false) AS ignition FROM raw""")
+@query("p6_ignition", f"""WITH {RAW}, w AS (SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'y' WHEN 3 THEN 's' WHEN 5 THEN 'YES' WHEN 7 THEN 'n' WHEN 9 THEN 'Sí' ELSE ign END AS ign FROM raw)
+    SELECT event_id, coalesce(CASE WHEN lower(trim(ign)) IN ('1', 'true', 'on', 'encendido', 'si', 'sí', 'yes') THEN true
+    WHEN lower(trim(ign)) IN ('0', 'false', 'off', 'apagado', 'no') THEN false ELSE try_cast(trim(ign) AS DOUBLE) > 0 END, false) AS ignition FROM w""")
 def p6(spark, d):
-    return raw(spark, d).select("event_id", parse.ignition(F.col("ign")).alias("ignition"))
+    e = F.col("event_id") % 10
+    word = F.when(e == 1, "y").when(e == 3, "s").when(e == 5, "YES").when(e == 7, "n").when(e == 9, "Sí").otherwise(F.col("ign"))
+    return raw(spark, d).select("event_id", parse.ignition(word).alias("ignition"))
 
 
 @query("p7_timestamp", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS timestamp FROM events")

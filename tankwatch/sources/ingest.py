@@ -11,19 +11,19 @@ from tankwatch.operators.quality import clean, require, validated
 from tankwatch.operators.signal import preprocess
 from tankwatch.params import Detection
 
-#: Header names by canonical column, in order of preference.
+#: Header names by canonical column; the first that fits wins.
 HEADERS = {
-    "timestamp": ["timestamp", "tiempo", "fecha", "datetime", "time"],
-    "vehicle_id": ["vehicle_id", "vehiculo", "vehicle", "unidad", "placa"],
-    "coordinates": ["coordenadas", "coordinates", "location"],
-    "latitude": ["latitude", "latitud", "lat"],
-    "longitude": ["longitude", "longitud", "lon"],
-    "speed": ["speed_kmh", "speed", "velocidad"],
-    "ignition": ["ignition", "ignición", "ignicion", "encendido"],
-    "total_fuel": ["total_fuel_gal", "totalfuel", "tanque total", "total_fuel", "combustible total"],
-    "left_tank": ["left_tank", "tanque izquierdo"],
-    "right_tank": ["right_tank", "tanque derecho"],
-    "label": ["stationary_drain", "label"],
+    "vehicle_id": ["vehicle_id", "vehiculo", "veh_id", "vehicleid", "equipo"],
+    "timestamp": ["tiempo", "timestamp", "time", "datetime", "fecha", "fechahora", "fecha_hora"],
+    "coordinates": ["coordenadas", "coordinates", "coords", "coordinate"],
+    "latitude": ["latitude", "lat"],
+    "longitude": ["longitude", "lon", "lng", "longitud"],
+    "speed_kmh": ["velocidad", "speed", "speed_kmh", "velocidad km/h"],
+    "ignition": ["ignición", "ignicion", "ignition", "ignition_status"],
+    "total_fuel_gal": ["tanque total", "total_fuel", "fuel_level", "fuel", "totalfuel"],
+    "left_tank": ["tanque izquierdo", "left_tank", "left_fuel"],
+    "right_tank": ["tanque derecho", "right_tank", "right_fuel"],
+    "label": ["stationary_drain", "drain", "fuel_drain", "label"],
 }
 
 
@@ -50,30 +50,35 @@ def read_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructT
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
 
 
-def standardise(df: DataFrame, vehicle_id: str | None = None, headers: dict[str, list[str]] | None = None) -> DataFrame:
-    """One projection to the canonical columns; a table without a time column is an error."""
-    names = {**HEADERS, **(headers or {})}
-    pick = {k: parse.pick_column(df.columns, v) for k, v in names.items()}
+def standardise(df: DataFrame, vehicle_id: str | None = None, headers: dict[str, list[str]] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One projection to the canonical columns; a table without a time column is an error.
+
+    A coordinate pair in one column goes before two columns, a total before the tanks, of which one may be missing.
+    The vehicle is ``vehicle_id``, else the table's own column, else the file's name, else ``UNKNOWN``. Columns to
+    ``keep`` stay as they are and are no candidates.
+    """
+    names, kept = {**HEADERS, **(headers or {})}, keep or []
+    pick = {k: parse.pick_column([c for c in df.columns if c not in kept], v) for k, v in names.items()}
     if pick["timestamp"] is None:
         raise ValueError("no timestamp column")
-    col = lambda k: F.col(f"`{pick[k]}`").cast("string")
     has = lambda k: pick[k] is not None
     none = F.lit(None).cast("double")
-    vehicle = F.lit(vehicle_id) if vehicle_id else F.trim(col("vehicle_id")) if has("vehicle_id") else parse.vehicle_from_name(F.input_file_name())
-    if has("latitude") and has("longitude"):
-        lat, lon = parse.number(col("latitude")), parse.number(col("longitude"))
+    col = lambda k: F.col(f"`{pick[k]}`").cast("string") if has(k) else F.lit(None).cast("string")
+    vehicle = F.lit(vehicle_id) if vehicle_id else F.trim(col("vehicle_id")) if has("vehicle_id") else F.coalesce(F.nullif(parse.vehicle_from_name(F.input_file_name()), F.lit("")), F.lit("UNKNOWN"))
+    if has("coordinates"):
+        lat, lon = parse.coordinates(col("coordinates"))
     else:
-        lat, lon = parse.coordinates(col("coordinates")) if has("coordinates") else (none, none)
-    fuel = parse.number(col("total_fuel")) if has("total_fuel") else parse.tanks(col("left_tank"), col("right_tank")) if has("left_tank") and has("right_tank") else none
+        lat, lon = (parse.number(col("latitude")), parse.number(col("longitude"))) if has("latitude") and has("longitude") else (none, none)
+    fuel = parse.number(col("total_fuel_gal")) if has("total_fuel_gal") else parse.tanks(col("left_tank"), col("right_tank")) if has("left_tank") or has("right_tank") else none
     out = {
         "timestamp": parse.timestamp(col("timestamp")), "vehicle_id": vehicle, "latitude": lat, "longitude": lon,
-        "speed_kmh": parse.speed(col("speed")) if has("speed") else none,
-        "ignition": parse.ignition(col("ignition")) if has("ignition") else F.lit(False),
+        "speed_kmh": parse.speed(col("speed_kmh")) if has("speed_kmh") else none,
+        "ignition": parse.ignition(col("ignition")),
         "total_fuel_gal": fuel,
     }
     if has("label"):
         out["stationary_drain"] = parse.label(col("label"))
-    return df.select(*[c.alias(k) for k, c in out.items()])
+    return df.select(*[c.alias(k) for k, c in out.items()], *kept)
 
 
 def load(spark: SparkSession, path: str, vehicle_id: str | None = None) -> DataFrame:
@@ -116,6 +121,12 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_combined(spark: SparkSession, path: str) -> DataFrame:
+    """The combined table with its time as a UTC timestamp, also where it was stored as text."""
+    df = load_table(spark, path)
+    return df.withColumn("timestamp", parse.utc(F.col("timestamp"))) if dict(df.dtypes)["timestamp"] == "string" else df
+
+
 def load_events(spark: SparkSession, path: str) -> DataFrame:
     """Events from CSV, with their times as UTC timestamps."""
     df = spark.read.csv(path, header=True)
