@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,11 +73,15 @@ def plausible(df: DataFrame, p: Detection = Detection()) -> DataFrame:
     return df.where((F.col("drop_gal") / F.greatest(F.col("duration_min"), F.lit(0.001)) <= p.max_rate) & (F.col("min_step_gal") <= p.max_step))
 
 
+def _slow(least: float) -> str:
+    return f"slow_{str(least).replace('.', '_')}"
+
+
 def scan(df: DataFrame, thresholds: DataFrame, p: Detection = Detection()) -> DataFrame:
     """All windows of a segment that look like a fuel drop.
 
     Rows of a segment are paired with later rows of it, up to the longest pattern; running aggregates over the pairs of
-    one start give every window's drop without rescanning it. Segments are first cut to those whose total drop or largest
+    one start give every window's drop and median time step without rescanning it. Segments are first cut to those whose total drop or largest
     step can pass at all, which loses nothing.
     """
     rows = df.where(F.col("seg_id").isNotNull()).select("vehicle_id", "seg_id", "timestamp", "dfuel", "dt_s", "ign_off")
@@ -105,17 +111,23 @@ def scan(df: DataFrame, thresholds: DataFrame, p: Detection = Detection()) -> Da
             "duration_min": (F.unix_micros("end_time") - F.unix_micros("start_time")) / 6e7,
             "n_points": (F.col("j") - F.col("i") + 1).cast("int"),
         }
-    ).where("n_negative_steps > 0")
+    )
+    # The median time step of a window, from counts that run along with it: of steps below the limit, and in the even
+    # case of the largest one below and the smallest one not below.
+    for m in sorted({x.min_median_dt_s for x in p.patterns if x.state == "ign_off"}):
+        below = F.col("dt_s") < m
+        n, few = F.count("dt_s").over(run), F.count_if(below).over(run)
+        middle = (F.max(F.when(below, F.col("dt_s"))).over(run) + F.min(F.when(~below, F.col("dt_s"))).over(run)) / 2
+        slow = F.when(2 * few < n, True).when(2 * few == n, middle >= m)
+        windows = windows.withColumn(_slow(m), F.coalesce(slow, F.lit(False)))
+    windows = windows.where("n_negative_steps > 0")
     fits = windows.join(F.broadcast(pattern_table(df.sparkSession, p)), "state").where((F.col("duration_min") >= F.col("min_minutes")) & (F.col("max_minutes").isNull() | (F.col("duration_min") <= F.col("max_minutes"))))
     on = (F.col("state") == "stationary_on") & ((F.col("drop_gal") >= F.col("cum_gal")) | (F.col("min_step_gal") >= F.col("step_gal"))) & (F.col("n_negative_steps") >= F.col("min_steps"))
-    off = (F.col("state") == "ign_off") & (F.col("drop_gal") >= F.col("cum_gal")) & (F.col("n_points") >= F.col("min_points"))
-    hits = fits.where(on | off)
-    # the median time step is only needed for engine-off windows that passed everything else
-    quiet = hits.where("state = 'ign_off'").select("vehicle_id", "seg_id", "i", "j").distinct().alias("w")
-    steps = placed.select("vehicle_id", "seg_id", "idx", "dt_s").alias("r")
-    inside = (F.col("w.vehicle_id") == F.col("r.vehicle_id")) & (F.col("w.seg_id") == F.col("r.seg_id")) & (F.col("r.idx") > F.col("w.i")) & (F.col("r.idx") <= F.col("w.j"))
-    mids = quiet.join(steps, inside).groupBy("w.vehicle_id", "w.seg_id", "i", "j").agg(F.percentile("r.dt_s", F.lit(0.5)).alias("median_step"))
-    passed = hits.join(mids, ["vehicle_id", "seg_id", "i", "j"], "left").where((F.col("state") != "ign_off") | (F.col("median_step") >= F.col("min_median_dt_s")))
+    off = F.lit(False)
+    for m in sorted({x.min_median_dt_s for x in p.patterns if x.state == "ign_off"}):
+        off = off | ((F.col("min_median_dt_s") == m) & F.col(_slow(m)))
+    off = off & (F.col("state") == "ign_off") & (F.col("drop_gal") >= F.col("cum_gal")) & (F.col("n_points") >= F.col("min_points"))
+    passed = fits.where(on | off)
     return plausible(passed, p).select("vehicle_id", "start_time", "end_time", "duration_min", "drop_gal", "min_step_gal", "pattern", "n_negative_steps", "seg_id", "pattern_no", F.col("i").alias("start_idx"), F.col("j").alias("end_idx"))
 
 
@@ -134,36 +146,27 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.coalesce(F.try_divide(shared, (b - a) + (d - c) - shared), F.lit(0.0))
 
 
-def conflicts(events: DataFrame, limit: float = 0.5) -> DataFrame:
-    """``winner, loser`` for events of one segment that overlap by ``limit`` or more; ``place`` ranks them."""
-    a, b = events.alias("a"), events.alias("b")
-    meet = (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a.seg_id") == F.col("b.seg_id")) & (F.col("a.place") < F.col("b.place"))
-    over = iou(F.col("a.start_time"), F.col("a.end_time"), F.col("b.start_time"), F.col("b.end_time")) >= limit
-    return a.join(b, meet & over).select("a.vehicle_id", "a.seg_id", F.col("a.place").alias("winner"), F.col("b.place").alias("loser"))
-
-
 def suppress(events: DataFrame, p: Detection = Detection()) -> DataFrame:
     """Greedy suppression: by falling drop, an event goes if it overlaps one that stays.
 
-    Segments do not overlap in time, so conflicts stay within them. Each round keeps the events that no better live
-    one conflicts with and removes their neighbours, which ends in the greedy result. Rounds are checkpointed.
+    Segments do not overlap in time, so each is settled by itself; a group holds the windows of one stop. Ties go by
+    pattern, then by the earlier start and end.
     """
-    ranked = events.withColumn("place", F.row_number().over(W.partitionBy("vehicle_id", "seg_id").orderBy(F.desc("drop_gal"), *ORDER[2:])))
-    base = _stored(ranked)
-    edges = _stored(conflicts(base, p.iou))
-    key = ["vehicle_id", "seg_id"]
-    live, kept = base.select(*key, "place"), None
-    while True:
-        beaten = edges.select(*key, F.col("loser").alias("place")).distinct()
-        best = _stored(live.join(beaten, [*key, "place"], "left_anti"))
-        kept = best if kept is None else kept.union(best)
-        gone = edges.join(best.withColumnRenamed("place", "winner"), [*key, "winner"], "left_semi").select(*key, F.col("loser").alias("place")).distinct()
-        live = _stored(live.join(best, [*key, "place"], "left_anti").join(gone, [*key, "place"], "left_anti"))
-        if live.isEmpty():
-            break
-        alive = live.select(*key, "place")
-        edges = _stored(edges.join(alive.withColumnRenamed("place", "winner"), [*key, "winner"], "left_semi").join(alive.withColumnRenamed("place", "loser"), [*key, "loser"], "left_semi"))
-    return base.join(kept, [*key, "place"], "left_semi").drop("place")
+
+    def settle(batch: pa.Table) -> pa.Table:
+        col = lambda c: batch.column(c).to_numpy()
+        start, end = (batch.column(c).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy() for c in ("start_time", "end_time"))
+        alive = np.lexsort((col("end_idx"), col("start_idx"), col("pattern_no"), -col("drop_gal")))
+        kept = []
+        while len(alive):
+            k, alive = alive[0], alive[1:]
+            kept.append(k)
+            shared = np.maximum(0, np.minimum(end[k], end[alive]) - np.maximum(start[k], start[alive]))
+            covered = (end[k] - start[k]) + (end[alive] - start[alive]) - shared
+            alive = alive[shared < p.iou * covered if p.iou > 0 else np.zeros(len(alive), bool)]
+        return batch.take(pa.array(kept, pa.int64()))
+
+    return events.groupBy("vehicle_id", "seg_id").applyInArrow(settle, events.schema)
 
 
 def _stored(df: DataFrame) -> DataFrame:
