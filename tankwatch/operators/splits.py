@@ -56,3 +56,11 @@ def balance(events: DataFrame, min_train: int = 10, min_test: int = 5) -> DataFr
     row = events.agg(F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"), F.count_if(train & pos).alias("train_positives"), F.count_if(~train & pos).alias("test_positives"))
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return row.withColumns({"train_rate": rate("train_positives", "n_train"), "test_rate": rate("test_positives", "n_test")}).withColumn("balanced", (F.col("train_positives") >= min_train) & (F.col("test_positives") >= min_test) & (F.col("train_rate") >= 0.01) & (F.col("test_rate") >= 0.01))
+
+
+def require_both_sides(rows: DataFrame) -> DataFrame:
+    """Training and test rows, or it is an error."""
+    n = rows.agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b")).first()
+    if not n.a or not n.b:
+        raise ValueError("one side of the split is empty")
+    return rows
