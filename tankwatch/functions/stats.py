@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges into which a group's distinct values are cut for running sums.
+RANGES = 64
+
 
 def median(c) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -35,3 +39,43 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def unpivoted(row: DataFrame, name: str, value: str) -> DataFrame:
     """A one-row table of aggregates as (name, value) rows."""
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias(value)) for c in row.columns])).alias("r")).select("r.*")
+
+
+def ranged(values: DataFrame, col: str, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """Adds ``_range``, which rises with ``col`` within each group: about as many rows in each, equal values in one.
+
+    Null values come first. A window over a range stands for one over the group, which one task would have to sort.
+    """
+    edges = values.groupBy(*by).agg(F.percentile_approx(col, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(20 * ranges)).alias("_edges"))
+    place = F.when(F.col(col).isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(col))))
+    if not by:
+        return values.crossJoin(edges).withColumn("_range", place).drop("_edges")  # one row of edges
+    v, e = values.alias("v"), edges.alias("e")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"e.{c}"))
+    return v.join(e, same).select("v.*", place.alias("_range"))
+
+
+def running_sums(values: DataFrame, col: str, by: list[str], sums: dict[str, str], following: list[str] | None = None, falling: bool = False) -> DataFrame:
+    """Adds running sums (new name: column) in the order of ``col``, whose values are distinct within a group, the own
+    row included; ``following`` adds ``next_<column>`` of the row after it.
+
+    Sums run within ranges, and begin with the totals of the ranges before: a row for each range.
+    """
+    rows = ranged(values, col, by)
+    order = F.desc(col) if falling else F.asc(col)
+    place = -F.col("_range") if falling else F.col("_range")
+    first = F.max_by if falling else F.min_by
+    nexts = following or []
+    totals = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()], *[first(c, F.coalesce(F.col(col).cast("double"), F.lit(float("-inf")))).alias(f"_f_{c}") for c in nexts])
+    before = W.partitionBy(*by).orderBy(place)
+    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{k}").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{k}") for k in sums], *[F.lead(f"_f_{c}").over(before).alias(f"_n_{c}") for c in nexts])
+    within = W.partitionBy(*by, "_range").orderBy(order)
+    own = rows.withColumns({k: F.sum(c).over(within.rowsBetween(W.unboundedPreceding, 0)) for k, c in sums.items()} | {f"next_{c}": F.lead(c).over(within) for c in nexts})
+    v, o = own.alias("v"), offsets.alias("o")
+    same = F.col("v._range") == F.col("o._range")
+    for c in by:
+        same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"o.{c}"))
+    kept = [c for c in own.columns if c not in ("_range", *sums, *[f"next_{c}" for c in nexts])]
+    return v.join(o, same).select(*[F.col(f"v.{c}") for c in kept], *[(F.col(f"v.{k}") + F.col(f"o._o_{k}")).alias(k) for k in sums], *[F.coalesce(F.col(f"v.next_{c}"), F.col(f"o._n_{c}")).alias(f"next_{c}") for c in nexts])

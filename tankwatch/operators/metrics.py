@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tankwatch.functions.stats import running_sums
+
 
 def curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row for each distinct score: true and false positives if it were the threshold."""
+    """One row for each distinct score: true and false positives if it were the threshold.
+
+    ``next_p`` and ``next_n`` are the positives and negatives of the next lower score.
+    """
     by = by or []
     each = df.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum((1 - F.col("y")).cast("long")).alias("n"))
-    down, whole = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    out = each.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
-    return out.select(*by, "score", "p", "n", "tp", "fp", "pos", "neg", F.coalesce(F.try_divide("tp", "pos"), F.lit(0.0)).alias("tpr"), F.coalesce(F.try_divide("fp", "neg"), F.lit(0.0)).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    whole = each.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    c, t = running_sums(each, "score", by, {"tp": "p", "fp": "n"}, ["p", "n"], falling=True).alias("c"), whole.alias("t")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}"))
+    out = (c.join(t, same) if by else c.crossJoin(t)).select("c.*", "t.pos", "t.neg")
+    return out.select(*by, "score", "p", "n", "tp", "fp", "pos", "neg", F.coalesce(F.try_divide("tp", "pos"), F.lit(0.0)).alias("tpr"), F.coalesce(F.try_divide("fp", "neg"), F.lit(0.0)).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), "next_p", "next_n")
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -25,32 +33,31 @@ def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def areas(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Trapezoids under the ROC curve and under precision over recall (which begins at precision 1)."""
     by = by or []
-    w = W.partitionBy(*by).orderBy(F.desc("score"))
-    c = curve(df, by).withColumns({"x": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "z": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "q": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    rate = lambda a, b, none=0.0: F.coalesce(F.try_divide(a, b), F.lit(none))
+    tp, fp = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")  # at the next higher score
+    c = curve(df, by).withColumns({"x": rate(fp, F.col("neg")), "z": rate(tp, F.col("pos")), "q": rate(tp, tp + fp, 1.0)})
     return c.groupBy(*by).agg(F.sum((F.col("fpr") - F.col("x")) * (F.col("tpr") + F.col("z")) / 2).alias("roc_auc"), F.sum((F.col("tpr") - F.col("z")) * (F.col("precision") + F.col("q")) / 2).alias("pr_auc_trapezoid"))
 
 
 def _best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row with the largest values in ``order``, by partial maxima."""
+    best = df.groupBy(*by).agg(F.max_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(*order)).alias("_r"))
+    return best.where("_r is not null").select(*by, "_r.*")
 
 
 def corners(c: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The curve without points on a straight line between their neighbours; both ends stay."""
-    by = by or []
-    w = W.partitionBy(*by).orderBy(F.desc("score"))
-    bend = lambda x: F.lead(x).over(w) - 2 * F.col(x) + F.coalesce(F.lag(x).over(w), F.lit(0))
-    return c.withColumns({"_f": bend("fp"), "_t": bend("tp")}).where("_f is null or _t is null or _f <> 0 or _t <> 0").drop("_f", "_t")
+    return c.where("next_p is null or next_n <> n or next_p <> p")
 
 
 def recall_at_fpr(df: DataFrame, limit: float = 0.05, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    return _best(curve(df, by).where(F.col("fpr") <= limit), by, [F.desc("tpr"), F.desc("score")]).select(*by, F.col("tpr").alias("recall"), F.col("score").alias("threshold"))
+    return _best(curve(df, by).where(F.col("fpr") <= limit), by, [F.col("tpr"), F.col("score")]).select(*by, F.col("tpr").alias("recall"), F.col("score").alias("threshold"))
 
 
 def precision_at_recall(df: DataFrame, limit: float = 0.8, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    return _best(curve(df, by).where(F.col("tpr") >= limit), by, [F.desc("precision"), F.desc("score")]).select(*by, "precision", F.col("score").alias("threshold"))
+    return _best(curve(df, by).where(F.col("tpr") >= limit), by, [F.col("precision"), F.col("score")]).select(*by, "precision", F.col("score").alias("threshold"))
 
 
 def threshold_at_fpr(df: DataFrame, limit: float = 0.05, least_negatives: int = 20, by: list[str] | None = None) -> DataFrame:
@@ -61,13 +68,13 @@ def threshold_at_fpr(df: DataFrame, limit: float = 0.05, least_negatives: int =
     by = by or []
     allowed = F.when(F.col("neg") < least_negatives, F.lit(1)).otherwise(F.floor(F.col("neg") * limit))
     c = corners(curve(df, by).where("pos > 0 and neg > 0"), by).where(F.col("fp") <= allowed)
-    return _best(c, by, [F.desc("tpr"), F.desc("score")]).select(*by, F.col("score").alias("threshold"), F.col("tpr").alias("recall"), "precision", "fpr")
+    return _best(c, by, [F.col("tpr"), F.col("score")]).select(*by, F.col("score").alias("threshold"), F.col("tpr").alias("recall"), "precision", "fpr")
 
 
 def threshold_nearest_fpr(df: DataFrame, target: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """The corner whose false positive rate is nearest the target; 0.5 for one class."""
     by = by or []
-    near = _best(corners(curve(df, by), by), by, [F.abs(F.col("fpr") - target), F.desc("score")])
+    near = _best(corners(curve(df, by), by), by, [-F.abs(F.col("fpr") - target), F.col("score")])
     return near.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("score")).otherwise(0.5).alias("threshold"))
 
 

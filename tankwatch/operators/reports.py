@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.functions.stats import median, unpivoted
+from tankwatch.functions.stats import median, running_sums, unpivoted
 
 
 def pct(a: Column, b: Column) -> Column:
@@ -60,8 +60,7 @@ def rate_by(events: DataFrame, col: str) -> DataFrame:
 def mann_whitney(df: DataFrame, col: str, label: str = "y") -> DataFrame:
     """U of the positives, its z by normal approximation with ties, and the two-sided p."""
     rows = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum(label).cast("double").alias("n1"), F.count("*").cast("double").alias("t"))
-    w = W.orderBy(col).rowsBetween(W.unboundedPreceding, 0)  # distinct values only
-    ranked = rows.withColumn("r", F.sum("t").over(w) - (F.col("t") - 1) / 2)
+    ranked = running_sums(rows, col, [], {"upto": "t"}).withColumn("r", F.col("upto") - (F.col("t") - 1) / 2)
     s = ranked.agg(F.sum(F.col("r") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     s = s.withColumn("n0", F.col("n") - F.col("n1")).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     sigma = F.sqrt(F.col("n1") * F.col("n0") / 12 * (F.col("n") + 1 - F.try_divide("ties", F.col("n") * (F.col("n") - 1))))
