@@ -11,10 +11,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tankwatch.functions.stats import running_sums
 from tankwatch.operators import metrics
 from tankwatch.operators.detection import _stored
 
@@ -48,6 +49,60 @@ def balanced(df: DataFrame, positive_only: bool = False) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("y") == 1, b).otherwise(a))
 
 
+@dataclass
+class Platt:
+    """A logistic map of a model's score."""
+
+    slope: float
+    shift: float
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_p", 1 / (1 + F.exp(-(F.col("_s") * self.slope + self.shift))))
+
+    def save(self, path: str) -> None:
+        _session().createDataFrame([(self.slope, self.shift)], "slope double, shift double").coalesce(1).write.mode("overwrite").json(path)
+
+    @staticmethod
+    def load(path: str) -> Platt:
+        row = _session().read.json(path).first()
+        return Platt(row.slope, row.shift)
+
+
+@dataclass
+class Isotonic:
+    """A rising step map of a model's score."""
+
+    model: IsotonicRegressionModel
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(path: str) -> Isotonic:
+        return Isotonic(IsotonicRegressionModel.load(path))
+
+
+@dataclass
+class Plain:
+    """The score as it is, for want of a fold to calibrate on."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_p", F.col("_s"))
+
+    def save(self, path: str) -> None:
+        pass
+
+    @staticmethod
+    def load(path: str) -> Plain:
+        return Plain()
+
+
+_LINKS = {c.__name__: c for c in (Platt, Isotonic, Plain)}
+
+
 @dataclass
 class Calibrated:
     """The mean of models that were each fitted without one fold and calibrated on it."""
@@ -76,35 +131,31 @@ def calibrate(df: DataFrame, stages: list, folds: int = 5, method: str = "sigmoi
         held = base.transform(rest).select(vector_to_array("probability")[1].alias("_s"), F.col("y").cast("double").alias("y"))
         if method == "isotonic":
             m = IsotonicRegression(featuresCol="_s", labelCol="y", predictionCol="_p").fit(held)
-            out.models.append((base, m.transform))
+            out.models.append((base, Isotonic(m)))
         else:
             m = LogisticRegression(labelCol="y", featuresCol="_f").fit(VectorAssembler(inputCols=["_s"], outputCol="_f").transform(held))
-            a, b = float(m.coefficients[0]), float(m.intercept)
-            out.models.append((base, lambda d, a=a, b=b: d.withColumn("_p", 1 / (1 + F.exp(-(F.col("_s") * a + b))))))
+            out.models.append((base, Platt(float(m.coefficients[0]), float(m.intercept))))
     if not out.models:
-        out.models = [(Pipeline(stages=stages).fit(balanced(df)), lambda d: d.withColumn("_p", F.col("_s")))]
+        out.models = [(Pipeline(stages=stages).fit(balanced(df)), Plain())]
     return out
 
 
-def temperature(df: DataFrame, logit: str = "logit", steps: int = 25) -> float:
-    """The divisor of the logits with the least negative log likelihood; each step is one aggregate."""
-    def loss(t: float) -> float:
-        z = F.col(logit) / t
-        return df.agg(F.avg(F.when(F.col("y") == 1, F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z))))).first()[0]
-
-    low, high, g = 0.05, 10.0, 0.6180339887498949
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = loss(a), loss(b)
-    for _ in range(steps):
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = loss(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = loss(b)
-    return (low + high) / 2
+def temperature(df: DataFrame, logit: str = "logit", least: float = 0.05, most: float = 10.0, steps: int = 40, rounds: int = 3) -> float:
+    """The divisor of the logits with the least negative log likelihood.
+
+    Each round is one aggregate over a grid of divisors, finer around the best of the round before.
+    """
+    low, high = least, most
+    best = 1.0
+    for _ in range(rounds):
+        grid = [low * (high / low) ** (k / steps) for k in range(steps + 1)]
+        loss = lambda t: F.avg(F.when(F.col("y") == 1, F.log1p(F.exp(-F.col(logit) / t))).otherwise(F.log1p(F.exp(F.col(logit) / t))))
+        row = df.agg(*[loss(t).alias(f"t{k}") for k, t in enumerate(grid)]).first()
+        if row[0] is None:
+            return best
+        at = min(range(len(grid)), key=lambda k: row[k])
+        best, low, high = grid[at], grid[max(at - 1, 0)], grid[min(at + 1, steps)]
+    return best
 
 
 def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 0, key: str = "event_key") -> DataFrame:
@@ -165,23 +216,39 @@ def presets(rows: int, quick: bool = False) -> dict:
     return {"logistic": logistic(rows), "random_forest": forest(**small), "boosted": boosted(**fast), "boosted_deep": boosted(**(fast or {"rounds": 154}), depth=6, weighted=False)}
 
 
-def train_all(df: DataFrame, numeric: list[str], binary: list[str], categorical: list[str], folds: int = 5, quick: bool = False, names: list[str] | None = None) -> dict:
-    """Calibrated linear and forest models and plain boosted ones; a model that cannot be fitted is left out."""
-    pre, out = preprocessing(numeric, binary, categorical), {}
-    rows = df.count()
-    for name, m in presets(rows, quick).items():
-        if names and name not in names:
+class Models(dict):
+    """Fitted models by name, and ``failures``: why others were not fitted."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.failures: dict[str, str] = {}
+
+
+def train_all(df: DataFrame, numeric: list[str], binary: list[str], categorical: list[str], folds: int = 5, quick: bool = False, names: list[str] | None = None, more: dict | None = None) -> Models:
+    """Calibrated linear and forest models and plain boosted ones, and ``more`` plain ones.
+
+    A model that cannot be fitted is left out, and ``failures`` tells why. Rows of one class fit none.
+    """
+    pre, out = preprocessing(numeric, binary, categorical), Models()
+    seen = df.agg(F.count("*").alias("n"), F.countDistinct("y").alias("k")).first()
+    for name, m in {**presets(seen.n, quick), **(more or {})}.items():
+        if names and name not in names and name not in (more or {}):
+            continue
+        if seen.k < 2:
+            out.failures[name] = "one class only"
             continue
         try:
             out[name] = calibrate(df, [*pre, m], folds) if name in ("logistic", "random_forest") else Pipeline(stages=[*pre, m]).fit(balanced(df, positive_only=True))
-        except Exception as e:  # MLlib raises what the data lead to: one class, empty columns
-            print(f"{name} was not trained: {type(e).__name__}")
+        except Exception as e:  # MLlib raises what the data lead to: empty columns, bad parameters
+            out.failures[name] = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
     return out
 
 
 def predict(models: dict, df: DataFrame, key: str = "event_key") -> DataFrame:
     """Long table ``event_key, model, score, y, pattern``."""
     keep = [c for c in (key, "y", "pattern") if c in df.columns]
+    if not models:
+        return df.select(*keep, F.lit("").alias("model"), F.lit(0.0).alias("score")).where("false")
     parts = [(m.transform(df) if isinstance(m, Calibrated) else m.transform(df).withColumn("score", vector_to_array("probability")[1])).select(*keep, F.lit(name).alias("model"), "score") for name, m in models.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -218,10 +285,7 @@ def blend(scores: DataFrame, how: str = "mean", weights: dict[str, float] | None
         return scores.groupBy(key).agg((F.sum(F.col("score") * w) / F.sum(w)).alias("score"))
     if how == "rank":
         each = scores.groupBy("model", "score").agg(F.count("*").alias("t"))
-        from pyspark.sql import Window as W
-
-        below = F.sum("t").over(W.partitionBy("model").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
-        ranks = each.withColumn("r", below - (F.col("t") - 1) / 2)
+        ranks = running_sums(each, "score", ["model"], {"upto": "t"}).select("model", "score", (F.col("upto") - (F.col("t") - 1) / 2).alias("r"))
         return metrics.min_max(scores.join(ranks, ["model", "score"]).groupBy(key).agg(F.avg("r").alias("score")))
     agg = {"mean": F.avg("score"), "max": F.max("score"), "median": F.percentile("score", F.lit(0.5))}[how]
     return scores.groupBy(key).agg(agg.alias("score"))
@@ -256,20 +320,65 @@ def _names(base: PipelineModel, n: int) -> list[str]:
     return out + [f"f{k}" for k in range(len(out), n)]
 
 
-def compatible(model: PipelineModel, df: DataFrame) -> None:
-    """A table lacks nothing that the model reads, or it is an error."""
-    first = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    lacking = {c.removesuffix("_i") for c in first.getInputCols()} - set(df.columns)
+def required_features(model: PipelineModel | Calibrated) -> list[str]:
+    """The columns that a fitted model reads, in its own order."""
+    base = model.models[0][0] if isinstance(model, Calibrated) else model
+
+    def columns(kind: str) -> list[str]:
+        out: list[str] = []
+        for s in base.stages:
+            for name in (f"{kind}Col", f"{kind}Cols"):
+                if s.hasParam(name) and s.isDefined(s.getParam(name)):
+                    found = s.getOrDefault(name)
+                    out += found if isinstance(found, list) else [found]
+        return out
+
+    made = set(columns("output"))
+    return [c for c in dict.fromkeys(columns("input")) if c not in made]
+
+
+def missing_features(model: PipelineModel | Calibrated, df: DataFrame) -> list[str]:
+    return [c for c in required_features(model) if c not in df.columns]
+
+
+def compatible(model: PipelineModel | Calibrated, df: DataFrame) -> DataFrame:
+    """``df``, if it lacks nothing that the model reads; else it is an error."""
+    lacking = missing_features(model, df)
     if lacking:
-        raise ValueError(f"missing features: {', '.join(sorted(lacking))}")
+        raise ValueError(f"missing features: {', '.join(lacking)}")
+    return df
+
 
+def save(model: PipelineModel | Calibrated, path: str) -> None:
+    """A plain pipeline as such; a calibrated one as its pipelines and the map of each one's scores."""
+    if not isinstance(model, Calibrated):
+        model.write().overwrite().save(path)
+        return
+    for k, (base, link) in enumerate(model.models):
+        base.write().overwrite().save(f"{path}/base{k}")
+        link.save(f"{path}/link{k}")
+    spark = _session()
+    spark.createDataFrame([(k, type(link).__name__) for k, (_, link) in enumerate(model.models)], "part int, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/parts")
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
 
+def load(path: str) -> PipelineModel | Calibrated:
+    spark = _session()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return PipelineModel.load(path)
+    kinds = {r.part: r.kind for r in spark.read.json(f"{path}/parts").collect()}  # one row for each fold
+    return Calibrated([(PipelineModel.load(f"{path}/base{k}"), _LINKS[kinds[k]].load(f"{path}/link{k}")) for k in sorted(kinds)])
+
+
+def save_all(models: dict, path: str) -> None:
+    for name, m in models.items():
+        save(m, f"{path}/{name}")
+
+
+def _session():
+    from pyspark.sql import SparkSession
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return SparkSession.active()
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -523,7 +523,7 @@ def _cv(by: str) -> str:
 
 @query("m20_curve", f"WITH {SC}, {_cv('')} SELECT score, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS precision FROM cr")
 def m20(spark, d):
-    return metrics.curve(scored(spark, d))
+    return metrics.curve(scored(spark, d)).drop("next_p", "next_n")
 
 
 @query("m16_average_precision", f"WITH {SC}, {_cv('grp')} SELECT grp, round(sum(precision * p / pos), 6) AS pr_auc FROM cr GROUP BY grp")

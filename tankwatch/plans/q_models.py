@@ -1,4 +1,4 @@
-"""Queries of sources, models, scoring and streams; most have no SQL form and are tested beside it."""
+"""Queries of sources, models, scoring and streams; fitted models have no SQL form and are tested in tests/test_models.py."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from tankwatch.operators import detection, features, hotspots, intervals, metric
 from tankwatch.params import Clustering
 from tankwatch.plans.q_basic import DER, hav, r6, raw
 from tankwatch.plans.q_events import CEN, EV, SC, SEG, SPLIT, found, labelled, mapped, placed, scored
-from tankwatch.plans.telemetry import SCALED, TEL, telemetry
+from tankwatch.plans.telemetry import GAPS, SCALED, TEL, telemetry
 from tankwatch.sources import ingest
 from tankwatch.streaming import streams
 
@@ -99,15 +99,6 @@ def j9(spark, d):
     return splits.leaks(mapped(spark, d)).agg((F.count("*") > 0).alias("leaks"))
 
 
-@query("j11_pairwise", f"WITH {TEL}, c AS (SELECT vehicle_id, avg(latitude) AS a, avg(longitude) AS b FROM tel GROUP BY vehicle_id) SELECT event_id, round({hav('latitude', 'longitude', 'a', 'b')}, 6) AS km FROM tel JOIN c USING (vehicle_id)")
-def j11(spark, d):
-    from tankwatch.functions.geo import haversine
-
-    t = telemetry(spark, d)
-    c = t.groupBy("vehicle_id").agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b"))
-    return t.join(c, "vehicle_id").select("event_id", haversine(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")).alias("km"))
-
-
 @query("j14_train_points", f"WITH {TEL}, {DER}, {SPLIT} SELECT event_id FROM der JOIN cuts USING (vehicle_id) WHERE stationary AND timestamp <= cut")
 def j14(spark, d):
     return hotspots.stationary_points(splits.rank_split(signal.derive(telemetry(spark, d)))).where("is_train").select("event_id")
@@ -126,19 +117,16 @@ def c3(spark, d):
     return hotspots.nearest(pts.where("not is_train"), centres, p).select("event_id", "cluster_id")
 
 
-@query("d10_detection_job")
-def d10(spark, d):
-    e = splits.map_events(intervals.keyed(detection.detect(placed(spark, d), SCALED)), splits.rank_split(telemetry(spark, d)))
-    return features.temporal(features.labels(e, telemetry(spark, d))).drop("event_key")
-
-
 def _set(spark, d) -> DataFrame:
-    """Events with a few features and a label, as a stored table."""
-    e = features.spacing(features.clock(features.durations(labelled(spark, d))))
-    return models.stored(splits.map_events(features.with_rate(e), splits.rank_split(telemetry(spark, d)), False).select("event_key", "vehicle_id", "start_time", "drop_gal", "duration_min", "min_step_gal", "n_negative_steps", "rate_gpm", "log_duration", "is_night", "is_weekend", "pattern", "y", "is_train"))
+    """The whole feature matrix of events with label and side of the split, as a stored table."""
+    t = placed(spark, d)
+    e = splits.map_events(features.labels(found(spark, d), t), t if "is_train" in t.columns else splits.rank_split(telemetry(spark, d)), False)
+    rows = features.FeatureBuilder(hours=96).base(e, t)
+    keys = rows.select("event_key", "vehicle_id", "start_time", "end_time", "is_train")
+    return models.stored(features.matrix(rows).join(keys, "event_key"))
 
 
-NUM, BIN = ["drop_gal", "duration_min", "min_step_gal", "n_negative_steps", "rate_gpm", "log_duration"], ["is_night", "is_weekend"]
+NUM, BIN = list(features.NUMERIC), list(features.BINARY)
 
 
 #: The reference's sizes: calibration folds, and trees of the isolation forest.
@@ -274,7 +262,9 @@ def r38(spark, d):
     return scored(spark, d).groupBy(F.col("grp").alias("source")).agg(F.count("*").alias("n_events"), F.count_if(F.col("score") >= 0.5).alias("n_thefts"))
 
 
-@query("r21_feature_families")
+@query("r21_feature_families", f"""WITH {EV}, f(feature, family) AS (VALUES {", ".join(f"('{c}', 'numeric')" for c in features.NUMERIC)}, {", ".join(f"('{c}', 'binary')" for c in features.BINARY)}),
+    h(feature, n) AS (SELECT 'drop_gal', count(drop_gal) FROM ev UNION ALL SELECT 'duration_min', count(duration_min) FROM ev UNION ALL SELECT 'min_step_gal', count(min_step_gal) FROM ev UNION ALL SELECT 'n_negative_steps', count(n_negative_steps) FROM ev)
+    SELECT family, count(*) AS n_features, count(n) AS n_present FROM f LEFT JOIN h USING (feature) GROUP BY family""")
 def r21(spark, d):
     fam = spark.createDataFrame([(c, "numeric") for c in features.NUMERIC] + [(c, "binary") for c in features.BINARY], "feature string, family string")
     have = reports.unpivoted(found(spark, d).agg(*[F.count(c).alias(c) for c in ("drop_gal", "duration_min", "min_step_gal", "n_negative_steps")]), "feature", "n")
@@ -312,10 +302,16 @@ def i8(spark, d):
     return scoring.score_events(models.load(path), s.where("not is_train").drop("is_train", "y"), [*NUM, *BIN, "pattern"]).select("event_key", "score", "is_theft", "risk_level", "explanation")
 
 
-@query("i7_explanations", f"WITH {EV} SELECT e.vehicle_id, e.start_time, e.end_time, e.pattern, CAST(drop_gal > 5 AS INT) + CAST(pattern = 'postjourney' AS INT) AS n_reasons FROM ev e")
+@query("i7_explanations", f"""WITH {EV}, x AS (SELECT *, least(drop_gal / 100, 0.99) AS score, CAST(drop_gal > 30 AS INT) AS is_theft, drop_gal / (duration_min + 1e-6) AS rate_gpm, n_negative_steps % 2 AS is_hotspot FROM ev)
+    SELECT vehicle_id, start_time, end_time, pattern, array_to_string(list_filter([
+        CASE WHEN is_theft = 1 THEN CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.6 THEN 'moderate' ELSE 'low' END || printf(' confidence theft (%.1f%%)', score * 100) ELSE printf('Low theft probability (%.1f%%)', score * 100) END,
+        CASE WHEN drop_gal > 10 THEN printf('Large fuel drop: %.1f gallons', drop_gal) WHEN drop_gal > 5 THEN printf('Moderate fuel drop: %.1f gallons', drop_gal) END,
+        CASE WHEN duration_min < 10 THEN printf('Short duration: %.1f minutes', duration_min) WHEN duration_min > 30 THEN printf('Extended duration: %.1f minutes', duration_min) END,
+        CASE WHEN rate_gpm > 0.5 THEN printf('Fast drain rate: %.2f gal/min', rate_gpm) END,
+        CASE WHEN is_hotspot = 1 THEN 'Occurred at known hotspot location' END, 'Pattern: ' || pattern], lambda r: r IS NOT NULL), '; ') AS reasons FROM x""")
 def i7(spark, d):
-    e = found(spark, d)
-    return e.select("vehicle_id", "start_time", "end_time", "pattern", F.size(scoring.explanations(e)).alias("n_reasons"))
+    e = features.with_rate(found(spark, d)).withColumns({"score": F.least(F.col("drop_gal") / 100, F.lit(0.99)), "is_theft": (F.col("drop_gal") > 30).cast("int"), "is_hotspot": F.col("n_negative_steps") % 2})
+    return e.select("vehicle_id", "start_time", "end_time", "pattern", F.array_join(scoring.explanations(e), "; ").alias("reasons"))
 
 
 @query("i4_fill_features", f"WITH {EV} SELECT e.vehicle_id, e.start_time, e.end_time, e.pattern, 0.0 AS absent FROM ev e")
@@ -323,34 +319,57 @@ def i4(spark, d):
     return scoring.fill_features(found(spark, d), ["drop_gal", "absent", "pattern"]).select("vehicle_id", "start_time", "end_time", "pattern", "absent")
 
 
+#: Rows that arrive long after their time, and up to when the first part of a stream goes.
+LATE, CUT = "event_id % 50 = 0 AND ts < (SELECT max(ts) - INTERVAL 10 DAY FROM events)", "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
+
+
+def _streamed(spark, parts: list[DataFrame], build) -> DataFrame:
+    """A stream that is stopped and goes on from its checkpoint after each part has arrived; its rows so far."""
+    src, out, state = _path(spark, "in"), _path(spark, "out"), _path(spark, "state")
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        made = build(spark.readStream.schema(part.schema).parquet(src))
+        made.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+def _timed(spark, d, rows: DataFrame, late: bool = False) -> list[DataFrame]:
+    """``rows`` with their last two days in a second part, which may bring old rows as well, and at the end a row of
+    no vehicle far ahead, with which the watermark passes all others."""
+    end = rows.agg(F.max("timestamp").alias("_end"))
+    marked = rows.join(F.broadcast(end)).withColumn("_late", (F.col("event_id") % 50 == 0) & (F.col("timestamp") < F.col("_end") - F.expr("interval 10 days")) if late else F.lit(False))
+    first = (F.col("timestamp") <= F.col("_end") - F.expr("interval 2 days")) & ~F.col("_late")
+    last = rows.agg(*[(F.max(c) + F.expr("interval 3660 days") if c == "timestamp" else F.lit("~end") if c == "vehicle_id" else F.first(c)).alias(c) for c in rows.columns])
+    return [marked.where(first).drop("_end", "_late"), marked.where(~first).drop("_end", "_late"), last.withColumn("stationary", F.lit(True)) if "stationary" in rows.columns else last]
+
+
 @query("x4_hourly_loss", f"WITH {TEL}, {DER} SELECT vehicle_id, date_trunc('hour', timestamp) AS start, round(sum(CASE WHEN dfuel < 0 THEN -dfuel ELSE 0 END), 6) AS lost_gal, count(*) AS n FROM der GROUP BY ALL")
 def x4(spark, d):
-    return streams.hourly_loss(signal.derive(telemetry(spark, d)))
+    rows = signal.derive(telemetry(spark, d)).select("event_id", "vehicle_id", "timestamp", "dfuel")
+    return _streamed(spark, _timed(spark, d, rows), streams.hourly_loss)
 
 
-@query("x5_quality_monitor")
+@query("x5_quality_monitor", f"""WITH {GAPS}, w AS (SELECT make_timestamp((epoch_us(timestamp) // 900000000 - k) * 900000000) AS start, total_fuel_gal, speed_kmh FROM gaps, generate_series(0, 3) g(k))
+    SELECT start, count(*) AS n, round(avg(CAST(total_fuel_gal IS NULL AS DOUBLE)), 6) AS missing_fuel, round(avg(CAST(speed_kmh IS NULL AS DOUBLE)), 6) AS missing_speed FROM w GROUP BY start""")
 def x5(spark, d):
-    return streams.quality_monitor(telemetry(spark, d, gaps=True))
+    rows = telemetry(spark, d, gaps=True).select("event_id", "vehicle_id", "timestamp", "total_fuel_gal", "speed_kmh")
+    return _streamed(spark, _timed(spark, d, rows), streams.quality_monitor)
 
 
-@query("x3_sessions")
+@query("x3_sessions", f"""WITH {TEL}, {DER}, g AS (SELECT vehicle_id, timestamp, timestamp + CASE WHEN ign_off THEN INTERVAL 2880 MINUTE ELSE INTERVAL 1440 MINUTE END AS until FROM der WHERE stationary),
+    b AS (SELECT *, CAST(timestamp > max(until) OVER (PARTITION BY vehicle_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT) AS fresh FROM g),
+    s AS (SELECT *, sum(coalesce(fresh, 1)) OVER (PARTITION BY vehicle_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS session FROM b)
+    SELECT vehicle_id, min(timestamp) AS start, count(*) AS n_rows FROM s GROUP BY vehicle_id, session""")
 def x3(spark, d):
-    return streams.sessions(signal.derive(telemetry(spark, d), SCALED), SCALED)
+    rows = signal.derive(telemetry(spark, d), SCALED).select("event_id", "vehicle_id", "timestamp", "stationary", "ign_off")
+    return _streamed(spark, _timed(spark, d, rows), lambda df: streams.sessions(df, SCALED))
 
 
-@query("x1_stateful_segments", f"WITH {SEG} SELECT vehicle_id, start_time, end_time, is_ign_off FROM segs")
+@query("x1_stateful_segments", f"WITH {SEG.replace(' FROM events)', f' FROM events WHERE NOT ({LATE}))', 1)} SELECT vehicle_id, start_time, end_time, is_ign_off FROM segs")
 def x1(spark, d):
-    """The stream over a stored table, read in several micro-batches and run to its end."""
-    t = signal.derive(telemetry(spark, d), SCALED).select("vehicle_id", "timestamp", "stationary", "ign_off")
-    src, out = _path(spark, "in"), _path(spark, "out")
-    # one row far ahead of all others lets the watermark pass everything that is open
-    last = t.agg(F.lit("~end").alias("vehicle_id"), (F.max("timestamp") + F.expr("interval 3660 days")).alias("timestamp"), F.lit(False).alias("stationary"), F.lit(False).alias("ign_off"))
-    t.repartitionByRange(4, "timestamp").write.parquet(src)
-    last.write.mode("append").parquet(src)
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    q = streams.stateful_segments(stream, SCALED, "3650 days").writeStream.format("parquet").option("checkpointLocation", _path(spark, "state")).option("path", out).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(streams.SEGMENT).parquet(out).select("vehicle_id", "start_time", "end_time", "is_ign_off")
+    """A stream in three parts; the second brings every fiftieth row long after its time, which the watermark drops."""
+    rows = signal.derive(telemetry(spark, d), SCALED).select("event_id", "vehicle_id", "timestamp", "stationary", "ign_off")
+    return _streamed(spark, _timed(spark, d, rows, late=True), lambda df: streams.stateful_segments(df, SCALED)).select("vehicle_id", "start_time", "end_time", "is_ign_off")
 
 
 @query("s3_tolerant_scan", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
@@ -440,12 +459,11 @@ def i10(spark, d):
     return spark.read.parquet(f"{out}/batches").agg(F.sum("n_events").alias("n_events"))
 
 
-@query("x2_late_data", "SELECT CAST(user_id AS VARCHAR) AS vehicle_id, ts AS timestamp FROM events")
+@query("x2_late_data", f"""WITH w AS (SELECT make_timestamp((epoch_us(max(ts)) // 1000 - 7200000) * 1000) AS mark FROM events WHERE ts <= {CUT} AND NOT ({LATE}))
+    SELECT DISTINCT CAST(user_id AS VARCHAR) AS vehicle_id, ts AS timestamp FROM events, w WHERE (ts <= {CUT} AND NOT ({LATE})) OR ts > mark""")
 def x2(spark, d):
-    """A stream that holds every row twice, read to its end."""
-    t = telemetry(spark, d).select("vehicle_id", "timestamp")
-    src, out = _path(spark, "in"), _path(spark, "out")
-    t.union(t).write.parquet(src)
-    stream = spark.readStream.schema(t.schema).parquet(src)
-    streams.deduplicated(stream, "3650 days").writeStream.format("parquet").option("checkpointLocation", _path(spark, "state")).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(t.schema).parquet(out)
+    """Every row comes twice; the second part brings every fiftieth row long after its time, which the watermark drops."""
+    rows = telemetry(spark, d).select("event_id", "vehicle_id", "timestamp")
+    one, two, last = _timed(spark, d, rows, late=True)
+    out = _streamed(spark, [one.union(one), two.union(two)], streams.deduplicated)
+    return out.select("vehicle_id", "timestamp")
