@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if np.isfinite(x).all() and x.any():
                 rows.append((vec_id, label, len(x), x.tobytes()))
         cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["node", "label", "size", "vector"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["node", "label", "size", "vector"])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -105,6 +106,45 @@ def join_intervals(x: np.ndarray, raw: np.ndarray, lead: np.ndarray, copies: np.
         out.add(rows + a[0], cols + b[0])
 
 
+#: How far a block's place in the order is shifted to name its interval: a partition of the order, 1,024 blocks, 32, one.
+SHIFTS = (32, 10, 5, 0)
+
+
+def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
+    """Pairs ``(one, two)`` of blocks whose boxes come within epsilon: the recursive join of intervals of the order.
+
+    Pairs of whole partitions that are too far apart are skipped with all that they hold; the others are taken apart,
+    level by level, down to single blocks.
+    """
+    key = ["label", "size"]
+    boxes = [F.min("low").alias("low"), F.max("high").alias("high")]
+    each = blocks.select(*key, "place", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "z")).select(*key, "place", "axis", "z.low", "z.high")
+
+    def level(shift: int, above: int) -> DataFrame:
+        by_axis = each.groupBy(*key, F.shiftright("place", shift).alias("at"), "axis").agg(*boxes)
+        own = by_axis.groupBy(*key, "at").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("sides"))
+        return written(own.select(*key, "at", F.shiftright("at", above - shift).alias("above"), F.transform("sides", lambda s: s["low"]).alias("low"), F.transform("sides", lambda s: s["high"]).alias("high")), "level")
+
+    gap = F.aggregate(F.zip_with(F.zip_with("a.low", "b.high", lambda p, q: p - q), F.zip_with("b.low", "a.high", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
+    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.size") == F.col("b.size"))
+    ordered = (F.col("a.at") <= F.col("b.at")) & (gap <= epsilon * epsilon)
+    top = level(SHIFTS[0], SHIFTS[0])
+    # at the top, intervals meet in cells of the first direction
+    met = top.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low")[0] / epsilon), F.floor(F.col("high")[0] / epsilon) + 1)))
+    now = met.alias("a").join(met.alias("b"), same & (F.col("a.cell") == F.col("b.cell")) & ordered)
+    pairs, spent = now.select("a.label", "a.size", F.col("a.at").alias("p"), F.col("b.at").alias("q")).distinct(), [top]
+    for above, shift in zip(SHIFTS, SHIFTS[1:], strict=False):
+        own = level(shift, above)
+        spent.append(own)
+        first = pairs.alias("s").join(own.alias("a"), (F.col("s.label") == F.col("a.label")) & (F.col("s.size") == F.col("a.size")) & (F.col("s.p") == F.col("a.above")))
+        pairs = first.join(own.alias("b"), same & (F.col("s.q") == F.col("b.above")) & ordered).select("a.label", "a.size", F.col("a.at").alias("p"), F.col("b.at").alias("q"))
+    names = blocks.select(*key, "place", "block")
+    found = pairs.join(names.select(*key, F.col("place").alias("p"), F.col("block").alias("one")), [*key, "p"]).join(names.select(*key, F.col("place").alias("q"), F.col("block").alias("two")), [*key, "q"])
+    out = written(found.select("one", "two"), "near")
+    discard(*spent)
+    return out
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links of cosine ``least`` or more between vectors with equal labels, as classes.
 
@@ -112,13 +152,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     directly, ``component_id`` is the smallest id reachable by links (the own one included), ``kept`` tells whether that
     is the row itself. Cosines are taken in double precision; where rounding could decide, sums are exact. A vector that
     is null, empty, zero or has a null or non-finite value, and a null label or id, link with nothing; vectors of
-    different lengths do not link. Equal vectors of a label are compared once and counted as often as they occur. Rows that share an
+    different lengths do not link; labels may be of any type. Equal vectors of a label are compared once and counted as often as they occur. Rows that share an
     id count as rows of their own, with one component. Empty tables give no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     epsilon = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
-    good = written(rows.mapInArrow(_valid, "node long, label long, size int, vector binary").withColumn("key", F.xxhash64("label", "vector")), "vectors")
+    kind = dict(vectors.dtypes)[label_col]
+    label = F.col(label_col) + 0.0 if kind in ("double", "float") else F.col(label_col)  # one zero
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), F.col(vector_col).alias("v"))
+    good = written(rows.mapInArrow(_valid, "node long, label string, size int, vector binary").withColumn("key", F.xxhash64("label", "vector")), "vectors")
     # exact copies: one of them, the one with the smallest id, stands for all
     single = written(good.groupBy("label", "size", "key", "vector").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "single")
     sizes = [r["size"] for r in single.select("size").distinct().collect()]
@@ -137,7 +179,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
             cells = [np.floor(unit(np.frombuffer(v.as_buffer(), dtype=np.float64)[None, :])[0] @ held.value[n] / epsilon).astype(np.int64).tolist() for v, n in zip(batch.column("vector"), batch.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
 
-    kinds = "label long, size int, node long, copies long, vector binary"
+    kinds = "label string, size int, node long, copies long, vector binary"
     order = ["label", "size", "cells", "node"]
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-single.count() // BLOCK)))
     ordered = single.select("label", "size", "node", "copies", "vector").mapInArrow(gridded, f"{kinds}, cells array<long>").repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -145,18 +187,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of at most BLOCK vectors of one label, each as a row with its box."""
         wait: list[tuple] = []
+        made: list[int] = []
 
         def row() -> tuple:
             raw = b"".join(w[4] for w in wait)
             lead = unit(np.frombuffer(raw, dtype=np.float64).reshape(len(wait), -1)) @ held.value[wait[0][1]]
             low, high = _boxes(lead)
-            out = (wait[0][2], wait[0][0], wait[0][1], np.array([w[2] for w in wait], dtype=np.int64).tobytes(), np.array([w[3] for w in wait], dtype=np.int64).tobytes(), raw, low.tolist(), high.tolist())
+            out = (wait[0][2], wait[0][0], wait[0][1], np.array([w[2] for w in wait], dtype=np.int64).tobytes(), np.array([w[3] for w in wait], dtype=np.int64).tobytes(), raw, low.tolist(), high.tolist(), (TaskContext.get().partitionId() << 32) + len(made))
+            made.append(out[0])
             wait.clear()
             return out
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)), kinds, strict=True)], names=["block", "label", "size", "nodes", "copies", "raw", "low", "high"])
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)), kinds, strict=True)], names=["block", "label", "size", "nodes", "copies", "raw", "low", "high", "place"])
 
         for batch in batches:
             done = []
@@ -169,13 +213,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
         if wait:
             yield table([row()])
 
-    blocks = written(ordered.mapInArrow(blocked, "block long, label long, size int, nodes binary, copies binary, raw binary, low array<double>, high array<double>"), "blocks")
-    # block pairs: those whose boxes come within epsilon along the first direction meet in one of its cells
-    heads = blocks.select("block", "label", "size", "low", "high").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low")[0] / epsilon), F.floor(F.col("high")[0] / epsilon) + 1)))
-    gap = F.aggregate(F.zip_with(F.zip_with("a.low", "b.high", lambda p, q: p - q), F.zip_with("b.low", "a.high", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    a, b = heads.alias("a"), heads.alias("b")
-    meet = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") <= F.col("b.block"))).where(gap <= epsilon * epsilon)
-    near = written(meet.select(F.col("a.block").alias("one"), F.col("b.block").alias("two")).distinct(), "near")
+    blocks = written(ordered.mapInArrow(blocked, "block long, label string, size int, nodes binary, copies binary, raw binary, low array<double>, high array<double>, place long"), "blocks")
+    near = _near_blocks(blocks.select("block", "label", "size", "low", "high", "place"), epsilon)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +234,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     left = blocks.select(F.col("block").alias("one"), "size", "nodes", "copies", "raw")
     right = blocks.select(F.col("block").alias("two"), F.col("nodes").alias("nodes2"), F.col("copies").alias("copies2"), F.col("raw").alias("raw2"))
     found = written(near.join(left, "one").join(right, "two").mapInArrow(compare, "node long, links long, other long"), "found")
+    discard(near, blocks)
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = written(single.join(counts, "node", "left").join(groups, "node", "left").select("label", "size", "key", "vector", F.col("node").alias("least"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "placed")
