@@ -26,13 +26,15 @@ def canonical(text: Column) -> Column:
 
 
 def fit_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language from at most about ``sample_docs`` documents for each, chosen by hash.
+    """Dictionaries by language from at most about ``sample_docs`` texts for each, chosen by hash; of each, about
+    ``dict_bytes / sample_docs`` letters from its middle.
 
-    Counts by language come from all rows; a language's share of rows then fixes its sampling rate. Rows
-    without language or without a letter are not used.
+    Counts by language are of different texts and come from all rows; they fix a language's sampling rate, so that
+    copies neither crowd the dictionary nor reach the driver. Rows without language or without a letter are not used.
+    More than ``MAX_LANGUAGES`` languages are an error, as each holds a dictionary in every task.
     """
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
@@ -43,7 +45,7 @@ def fit_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "
     # each sampled text gives a run of characters from its middle
     run = F.lit(share)
     begin = F.greatest(F.lit(1), F.floor((F.length("text") - run) / 2).cast("int"))
-    got = rows.where(place < wanted[F.col("lang")]).select("lang", canonical(F.col("text")).alias("text")).select("lang", F.substring("text", begin, run).alias("part")).collect()
+    got = rows.where(place < wanted[F.col("lang")]).select("lang", canonical(F.col("text")).alias("text")).select("lang", F.substring("text", begin, run).alias("part")).distinct().collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
         parts = sorted({r.part for r in got if r.lang == lang})
