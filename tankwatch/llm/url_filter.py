@@ -34,7 +34,7 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     """All (host suffix + path prefix) keys that a rule could have, longest first; then the longer host."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    cuts = F.filter(F.lit(lengths), lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.struct((F.length(s) + n).alias("size"), F.length(s).alias("host_size"), F.concat(s, F.substring(path, F.lit(1), n)).alias("key")))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.reverse(F.array_sort(F.array_distinct(pairs))), lambda x: x["key"]))
 
@@ -139,7 +139,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest rule
     (host and path together, then the longer host) wins; without one, ``default`` holds. Adds ``host``,
     ``path``, ``rule`` (null without one) and ``verdict`` to the columns of ``pages``, replacing columns of
-    those names. A null url, or one without ``://``, has empty host and path and no rule. Rules that are
+    those names; any other columns stay. A null url, or one without ``://``, has empty host and path and no rule. Rules that are
     repeated count once; if one is listed with both verdicts, ``block`` holds. Empty tables are fine.
 
     The filters' size follows the listing and is checked before building; above ``max_filter_bytes`` the
@@ -148,18 +148,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     spark: SparkSession = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     keyed = pages.withColumns({"host": host, "path": path})
+    spare = lambda name: name if name not in keyed.columns else spare(f"_{name}")
+    keys_col, hit_col = spare("_keys"), spare("_hit")
     tidy = rules.select(F.concat(ascii_lower(F.coalesce("host", F.lit(""))), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), (F.col("verdict") == "block").cast("int").alias("blocked"))
     listing = written(tidy.groupBy("key", "n").agg(F.max("blocked").alias("blocked")), "rules")
-    lengths = [r.n for r in listing.select("n").distinct().orderBy("n").limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("rules have more than 64 different path lengths")
+    lengths = [r.n for r in listing.select("n").distinct().orderBy("n").collect()]  # no more than the longest path has characters
     keys = candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
     h1, h2 = hashed(F.col("key"))
     universe = keyed.select("host", "path").select(F.explode(keys).alias("key")).distinct()
     n = listing.count()
     others = universe.join(listing.select("key"), "key", "left_anti").select(h1.alias("h1"), h2.alias("h2"))
     if filter_bytes(n, others.count() if n else 0) > max_filter_bytes:
-        return _by_join(keyed, listing, keys, default)
+        return _by_join(keyed, listing, keys, default, hit_col)
     listed = cascade(listing.select(h1.alias("h1"), h2.alias("h2")), others)
     blocked = cascade(listing.where("blocked = 1").select(h1.alias("h1"), h2.alias("h2")), listing.where("blocked = 0").select(h1.alias("h1"), h2.alias("h2")))
     discard(listing)
@@ -183,21 +183,23 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
             is_blocked[rows] = member(in_block, flat1[found[first]], flat2[found[first]])
         return pd.DataFrame({"place": place, "blocked": is_blocked})
 
-    probed = keyed.withColumn("_keys", keys).withColumn("_hit", probe(F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit("second")))))
-    rule = F.when(F.col("_hit.place") > 0, F.get(F.col("_keys"), F.col("_hit.place") - 1))
-    verdict = F.when(F.col("_hit.place") > 0, F.when(F.col("_hit.blocked"), F.lit("block")).otherwise(F.lit("allow"))).otherwise(F.lit(default))
-    return probed.withColumns({"rule": rule, "verdict": verdict}).drop("_keys", "_hit")
+    probed = keyed.withColumn(keys_col, keys).withColumn(hit_col, probe(F.transform(keys_col, lambda k: F.xxhash64(k)), F.transform(keys_col, lambda k: F.xxhash64(k, F.lit("second")))))
+    place, in_block = F.col(hit_col).getField("place"), F.col(hit_col).getField("blocked")
+    rule = F.when(place > 0, F.get(F.col(keys_col), place - 1))
+    verdict = F.when(place > 0, F.when(in_block, F.lit("block")).otherwise(F.lit("allow"))).otherwise(F.lit(default))
+    return probed.withColumns({"rule": rule, "verdict": verdict}).drop(keys_col, hit_col)
 
 
-def _by_join(keyed: DataFrame, listing: DataFrame, keys: Column, default: str) -> DataFrame:
+def _by_join(keyed: DataFrame, listing: DataFrame, keys: Column, default: str, best_col: str) -> DataFrame:
     """For listings whose filters are too large to broadcast: distinct (host, path prefix) keys are joined."""
     spots = keyed.select("host", "path").distinct()
     best = (
         spots.select("host", "path", F.posexplode(keys).alias("place", "key"))
         .join(listing.select("key", "blocked"), "key")
         .groupBy("host", "path")
-        .agg(F.min_by(F.struct("key", "blocked"), "place").alias("best"))
+        .agg(F.min_by(F.struct("key", "blocked"), "place").alias(best_col))
     )
     out = keyed.join(best, ["host", "path"], "left")
-    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.blocked") == 1, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": F.col("best.key"), "verdict": verdict}).drop("best")
+    found = F.col(best_col)
+    verdict = F.when(found.isNull(), F.lit(default)).when(found.getField("blocked") == 1, F.lit("block")).otherwise(F.lit("allow"))
+    return out.withColumns({"rule": found.getField("key"), "verdict": verdict}).drop(best_col)
