@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tankwatch.llm.common import discard, shared_dir, written
@@ -24,7 +23,7 @@ from tankwatch.llm.wordhash import lots, mixed, rolling, word_hashes
 #: Words of a window, of a hashed gram, and grams among which a window's smallest is taken.
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 def smallest_grams(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +148,7 @@ class FingerprintIndex:
                 self.tables.remove(name)
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 6, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the words of every 13-word window that also starts in a document with a smaller id.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256, kept``: ``kept`` is the remaining words joined by one space, or
@@ -185,9 +184,12 @@ def substring_dedup(docs: DataFrame, batches: int = 2, buckets: int | None = Non
         found = spark.table(run).join(common, "hash", "left_semi")
         marks = found if marks is None else marks.union(found)
     marked = marks.groupBy("doc_id").agg(F.collect_list("hash").alias("shared"))
-    windows = base.select("doc_id", "text").join(marked, "doc_id").mapInArrow(_windows, "window long, doc_id long, place int")
-    owned = windows.withColumn("owner", F.min("doc_id").over(W.partitionBy("window"))).where("owner < doc_id").select("doc_id", "place")
+    windows = written(base.select("doc_id", "text").join(marked, "doc_id").mapInArrow(_windows, "window long, doc_id long, place int"), "windows")
+    # a window's first document by partial minima: a passage that very many documents share is no large group
+    owners = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
+    owned = windows.join(owners, "window").where("owner < doc_id").select("doc_id", "place")
     hits = written(owned.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "hits")
+    discard(windows)
     copies = base.join(firsts.where("first <> last").select("whole", "first"), "whole").select("doc_id", "first").where("first < doc_id").distinct()
     judged = base.join(hits, "doc_id", "left").join(copies, "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     out = written(judged, "substrings")
