@@ -25,7 +25,7 @@ BASE, HASHES, CUTOFF = 1.5, 6, 1
 #: Up to this many bytes are broadcast at once: a larger filter is probed in several passes of that size,
 #: and a larger word table is joined.
 BROADCAST_BYTES = 96 << 20
-AT_ONCE, POSTINGS, BLOCK = 4 << 20, 3_000_000, 1 << 18
+AT_ONCE, POSTINGS, BLOCK = 1 << 20, 2_000_000, 1 << 18
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 LEVELS = np.array([0, *(BASE ** (q + 0.5 - 1) for q in range(1, 64))])  # what a level counts for
 LEVELS[1] = 1.0
