@@ -13,15 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.llm.common import components, discard, key_filter, may_hold, resolved, written
-from tankwatch.llm.wordhash import lots, mixed, rolling, word_hashes
+from tankwatch.llm.common import bits_of, discard, key_filter, may_hold, may_link, resolved, shared_buckets, written
+from tankwatch.llm.wordhash import distinct, lots, mixed, rolling, word_hashes
 
 #: Cells of the frequency sketch: a fixed size, whatever the input.
 CELLS, CHUNK = 1 << 18, 1 << 12
-AT_ONCE = 4 << 20
+AT_ONCE, BITS = 1 << 20, ["b0", "b1", "b2", "b3"]
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -31,7 +30,7 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     grams, out, at = rolling(h, size), [], 0
     for n in counts.tolist():
         if n >= size:
-            out.append(np.unique(grams[at : at + n - size + 1]))
+            out.append(distinct(grams[at : at + n - size + 1]))
         elif n:
             out.append(mixed(rolling(h[at : at + n], n)[:1] + np.uint64(n)))
         else:
@@ -50,26 +49,26 @@ class Order:
     def __init__(self, cells: np.ndarray, share: int):
         noise = np.median(cells)
         self.df = np.maximum(1.0, cells - noise - 3 * np.sqrt(max(noise, 1.0)))
-        self.rank = np.floor(np.log2(self.df)).astype(np.uint64)
+        self.rank = np.floor(np.log2(self.df)).astype(np.uint8)
         self.share = share  # per cent
 
-    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
-        """The chosen prefix and how many of its shingles a partner must share (or the partner's own number)."""
+    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """The chosen prefix in order, how many of its shingles a partner must share (or the partner's own number),
+        and the length of the plain prefix, of which similar sets share one shingle at least."""
         s = len(shingles)
         cell = (shingles & np.uint64(CELLS - 1)).astype(np.int64)
-        rank = self.rank[cell]
-        order = np.lexsort((shingles, rank)) if rank.any() else np.arange(s)
+        order = np.argsort(self.rank[cell], kind="stable")  # shingles are sorted already
         may_differ = s - (-(-s * self.share // 100))
         base = 1 + s // 32
         cost, best = None, None
-        posts = np.cumsum(self.df[cell[order]])
+        posts = np.cumsum(self.df[cell[order[: may_differ + 4 * base]]])
         for asked in dict.fromkeys(min(s, base * k) for k in (1, 2, 4)):
             upto = min(s, may_differ + asked)
             others = posts[upto - 1] - upto
             now = posts[upto - 1] + s * others / asked
             if cost is None or now < cost:
                 cost, best = now, (upto, asked - max(0, may_differ + asked - s))
-        return shingles[order[: best[0]]], max(1, best[1])
+        return shingles[order[: best[0]]], max(1, best[1]), may_differ + 1
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,27 +112,25 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     cells = cells.ravel()
     order = spark.sparkContext.broadcast(Order(cells, percent))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct set of a lot: its prefix, the plain prefix with each shingle's place, and its bits."""
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in lots([len(t) for t in texts], AT_ONCE):
-                parts = {}
-                for s in shingle_sets(texts[begin:end], words):
-                    node = node_of(s)
-                    if len(s) and node not in parts:
-                        parts[node] = (*order.value.prefix(s), len(s))
-                sizes = [len(p[0]) for p in parts.values()]
-                flat = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts.values())]).view(np.int64)
-                spread = lambda values, kind: pa.array(np.repeat(np.array(values, dtype=kind), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), spread(list(parts), np.int64), spread([p[2] for p in parts.values()], np.int32), spread([p[1] for p in parts.values()], np.int32)], names=["bucket", "node", "size", "asked"])
-
-    posted = rows.where("doc_id is not null").mapInArrow(postings, "bucket long, node long, size int, asked int")
-    bucket = W.partitionBy("bucket")
-    shared = posted.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low <> high")
-    members = written(shared.select("bucket", "node", "size", "asked").distinct(), "members")
-    # 32 bits of a shingle: an overlap counted with them can only be too large
-    prefixes = written(members.groupBy("node").agg(F.collect_set(F.col("bucket").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"), F.min("asked").alias("asked")), "prefixes")
-    first = written(heads.join(prefixes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
+                sets = {node_of(s): s for s in shingle_sets(texts[begin:end], words) if len(s)}
+                parts = [order.value.prefix(s) for s in sets.values()]
+                sizes = np.fromiter(map(len, sets.values()), dtype=np.int64, count=len(sets))
+                bits = bits_of(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.uint64), *sets.values()]), len(sets))
+                cols = [pa.array(list(sets), pa.int64()), pa.array([p[0].tobytes() for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.int32()), pa.array(sizes, pa.int32()), pa.array([p[0][: p[2]].tobytes() for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bits[:, k]) for k in range(4))], names=["node", "prefix", "asked", "size", "keys", *BITS])
+
+    kinds = "node long, prefix binary, asked int, size int, keys binary, " + ", ".join(f"{b} long" for b in BITS)
+    prefixes = written(rows.where("doc_id is not null").mapInArrow(prefixed, kinds), "prefixes")
+    shared = written(shared_buckets(prefixes.select("node", "keys")), "shared")
+    own = prefixes.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    several = written(own.select("node", "prefix", "asked", "size", *BITS), "several")
+    first = written(heads.join(several.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
+    discard(prefixes)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """The whole sets of some nodes, by one scan that skips other documents and shuffles no text."""
@@ -145,10 +142,22 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
                 some = batch.filter(pa.array(may_hold(held.value, batch.column("h").to_numpy())))
                 texts = some.column("text").to_pylist()
                 for begin, end in lots([len(t) for t in texts], AT_ONCE):
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(begin, end - begin), pa.array([s.tobytes() for s in shingle_sets(texts[begin:end], words)], pa.binary())], names=["doc_id", "shingles"])
+                    sets = shingle_sets(texts[begin:end], words)
+                    yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-        found = rows.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
-        return written(found.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("node", "shingles"), "sets")
+        found = rows.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "node long, shingles binary")
+        out = written(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        discard(wanted)
+        return out
+
+    def share_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The multi-match test: as many shingles in both prefixes as the pair's shorter demand asks for."""
+        for batch in batches:
+            keep = []
+            for x, y, asked in zip(batch.column("pa"), batch.column("pb"), np.minimum(batch.column("la").to_numpy(), batch.column("lb").to_numpy()).tolist(), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= asked)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,22 +169,21 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pa_, pb = (prefixes.select(F.col("node").alias(n), F.col("prefix").alias(f"p{n}"), F.col("asked").alias(f"l{n}")) for n in ("a", "b"))
-        enough = written(pairs.join(pa_, "a").join(pb, "b").where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b"), "enough")
+        left, right = (several.select(F.col("node").alias(n), F.col("prefix").alias(f"p{n}"), F.col("asked").alias(f"l{n}")) for n in ("a", "b"))
+        enough = written(pairs.join(left, "a").join(right, "b").mapInArrow(share_enough, "a long, b long"), "enough")
         sets = sets_of(enough.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         out = written(enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
         discard(enough, sets)
         return out
 
-    alike = lambda x, y: F.least(f"{x}.size", f"{y}.size") * 100 >= F.greatest(f"{x}.size", f"{y}.size") * percent
-    links = resolved(members.select("bucket", "node", "size"), verify, alike, leaders=10)
-    discard(members, prefixes, first)
-    groups = components(links)
-    discard(links)
+    members = shared.join(several.select("node", "size", *BITS), "node")
+    groups = resolved(members, verify, lambda x, y: may_link(x, y, percent))
+    discard(shared, several, first)
     by_node = heads.groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null")
     joined = by_node.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(joined.join(lowest, "component").select("node", "component_id"), "classes")
+    discard(groups)
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return heads.join(named, "node", "left").select("doc_id", "n_shingles", own.cast("long").alias("component_id"))

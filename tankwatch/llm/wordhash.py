@@ -62,6 +62,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
 def rolling(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each place on; the last ``size`` - 1 places are not of use."""
     out = np.zeros(len(h), dtype=np.uint64)
