@@ -12,7 +12,7 @@ from tankwatch.operators import detection, features, hotspots, jobs, metrics, mo
 from tankwatch.plans import q_events, q_models
 from tankwatch.plans.q_basic import hav, r6
 from tankwatch.plans.q_events import EV, KEYS, LAB, SC, SEG, SMALL, SPLIT, THR, _cv, found, mapped, placed, scored
-from tankwatch.plans.q_models import BIN, NUM, _csv, _path
+from tankwatch.plans.q_models import _csv, _path
 from tankwatch.plans.telemetry import SCALED, TEL, telemetry
 from tankwatch.sources import ingest
 
@@ -30,6 +30,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _few(spark, d):
+    """Events with the columns that detection gives them, a label and the side of the split: enough for small models."""
+    e = features.clock(features.labels(found(spark, d), telemetry(spark, d)))
+    return models.stored(splits.map_events(e, splits.rank_split(telemetry(spark, d)), False))
+
+
+FEW, FLAGS = ["drop_gal", "duration_min", "min_step_gal", "n_negative_steps"], ["is_weekend", "is_night"]
+
+
 @query("s7_reload", f"WITH {TEL} SELECT event_id, vehicle_id, date_trunc('second', timestamp) AS timestamp FROM tel")
 def s7(spark, d):
     """Stored with the time as text, read back as UTC."""
@@ -169,8 +178,8 @@ def m9(spark, d):
     """A model that cannot be fitted does not stop the others; the failure is told by name."""
     from pyspark.ml.classification import LogisticRegression
 
-    s = q_models._set(spark, d)
-    m = models.train_all(s, NUM, BIN, ["pattern"], q_models.FOLDS, False, ["logistic"], {"broken": LogisticRegression(labelCol="absent")})
+    s = _few(spark, d)
+    m = models.train_all(s, FEW, FLAGS, ["pattern"], q_models.FOLDS, False, ["logistic"], {"broken": LogisticRegression(labelCol="absent")})
     keys = found(spark, d).select("event_key", *KEYS)
     return models.predict(m, s).drop("pattern").join(keys, "event_key").select(*KEYS, F.col("model").alias("fitted"), F.lit(",".join(sorted(m.failures))).alias("failed"))
 
@@ -195,19 +204,18 @@ def i2(spark, d):
     return ingest.union([scoring.ensure_standard(ingest.read_csv(spark, _csv(spark, d))).select(*keep), own.select("vehicle_id", F.date_trunc("second", "timestamp").alias("timestamp"), "total_fuel_gal")])
 
 
-@query("i14_required_features", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, '{','.join([*NUM, 'pattern', *BIN])}' AS features FROM ev")
+@query("i14_required_features", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, '{','.join([*FEW, 'pattern', *FLAGS])}' AS features FROM ev")
 def i14(spark, d):
     """The list that a fitted pipeline names itself."""
-    s = q_models._set(spark, d)
-    names = scoring.required_features(Pipeline(stages=models.preprocessing(NUM, BIN, ["pattern"])).fit(s))
-    order = [*NUM, "pattern", *BIN]
+    names = scoring.required_features(Pipeline(stages=models.preprocessing(FEW, FLAGS, ["pattern"])).fit(_few(spark, d)))
+    order = [*FEW, "pattern", *FLAGS]
     return found(spark, d).select(*KEYS, F.lit(",".join(sorted(names, key=order.index))).alias("features"))
 
 
 @query("v17_compatible", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, 'missing features: drop_gal, is_night' AS error FROM ev")
 def v17(spark, d):
-    s = q_models._set(spark, d)
-    model = Pipeline(stages=models.preprocessing(NUM, BIN, ["pattern"])).fit(s)
+    s = _few(spark, d)
+    model = Pipeline(stages=models.preprocessing(FEW, FLAGS, ["pattern"])).fit(s)
     models.compatible(model, s)
     try:
         models.compatible(model, s.drop("drop_gal", "is_night"))
@@ -219,19 +227,19 @@ def v17(spark, d):
 
 def _artefacts(spark, d) -> scoring.Artefacts:
     """A model fitted on training events, with the training's norms, noise and pattern thresholds, stored and loaded."""
-    s = q_models._set(spark, d)
-    model = Pipeline(stages=[*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(s.count())]).fit(models.balanced(s.where("is_train")))
+    s = _few(spark, d)
+    model = Pipeline(stages=[*models.preprocessing(FEW, FLAGS, ["pattern"]), models.logistic(s.count())]).fit(models.balanced(s.where("is_train")))
     t, path = placed(spark, d), _path(spark, "artefacts")
     thresholds = s.groupBy("pattern").agg((F.count("*") * 0 + 0.4).alias("threshold"))
-    scoring.Artefacts(model, features.fit_norms(s), detection.noise_thresholds(t, SCALED), thresholds).save(path)
+    scoring.Artefacts(model, features.fit_norms(features.with_rate(s)), detection.noise_thresholds(t, SCALED), thresholds).save(path)
     return scoring.Artefacts.load(spark, path, hours=96)
 
 
 @query("s11_model_round_trip", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, true AS same FROM ev")
 def s11(spark, d):
     """Scores of a calibrated model before it was stored and after it was loaded."""
-    s, path = q_models._set(spark, d), _path(spark, "calibrated")
-    model = models.calibrate(s, [*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(s.count())], q_models.FOLDS)
+    s, path = _few(spark, d), _path(spark, "calibrated")
+    model = models.calibrate(s, [*models.preprocessing(FEW, FLAGS, ["pattern"]), models.logistic(s.count())], q_models.FOLDS)
     models.save(model, path)
     keys = found(spark, d).select("event_key", *KEYS)
     before, after = (m.transform(s).select("event_key", F.col("score").alias(n)) for m, n in ((model, "b"), (models.load(path), "a")))
