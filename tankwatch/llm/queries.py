@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tankwatch.llm import decontaminate, embeddings, language, lines, lm, ngram_join, packing, substrings, toxicity, url_filter
+from tankwatch.llm import collocations, conversations, decontaminate, embeddings, language, lines, lm, ngram_join, packing, spots, substrings, toxicity, url_filter
 from tankwatch.llm.common import remainder, table
 
 #: The listing that op5 judges by.
@@ -70,7 +70,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_embeddings": op2_embeddings, "op3_language": op3_language, "op4_lm": op4_lm, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_lines": op10_lines}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spots.compare_edits(docs).drop("edited")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_embeddings": op2_embeddings, "op3_language": op3_language, "op4_lm": op4_lm, "op5_url_filter": op5_url_filter, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_packing": op9_packing, "op10_lines": op10_lines, "op11_collocations": op11_collocations, "op12_conversations": op12_conversations, "op13_spots": op13_spots}
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
@@ -103,4 +117,28 @@ SQL = {
             FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        spots AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, CAST(count(*) AS HUGEINT) AS a FROM spots GROUP BY ALL),
+        total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM worded GROUP BY lang),
+        cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+        cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM cand),
+        scored AS (
+            SELECT c.*, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score FROM cuts c
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.k), ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_ AS (
+            SELECT lang, a AS longer, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+            FROM (SELECT c.lang, c.a, c.w, m, unnest(range(1, c.k - m + 2)) AS i FROM cand c, (VALUES (2), (3)) AS parts(m) WHERE m < c.k)),
+        longest AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longest g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.longer IS NULL OR 100 * g.longer < 80 * b.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+    """,
 }
