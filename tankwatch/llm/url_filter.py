@@ -199,7 +199,7 @@ def _by_join(keyed: DataFrame, listing: DataFrame, keys: Column, default: str, b
         .groupBy("host", "path")
         .agg(F.min_by(F.struct("key", "blocked"), "place").alias(best_col))
     )
-    out = keyed.join(best, ["host", "path"], "left")
+    out = keyed.join(best, ["host", "path"], "left").select(*keyed.columns, best_col)
     found = F.col(best_col)
     verdict = F.when(found.isNull(), F.lit(default)).when(found.getField("blocked") == 1, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumns({"rule": found.getField("key"), "verdict": verdict}).drop(best_col)
