@@ -38,7 +38,7 @@ def _spots(all_words: Column, content: Column, text: Column, anchors: list[str],
     each = F.transform(all_words, lambda w, i: F.when(i + chain < F.size(all_words), F.xxhash64(w, F.slice(all_words, i + 2, chain))))
     whole = F.array(F.when(F.size(all_words) > 0, F.xxhash64(all_words)).otherwise(F.xxhash64(text)))
     some = F.array_compact(F.when((F.size(all_words) - F.size(content)) * SPARSE >= F.size(all_words), found).otherwise(each))
-    return F.array_distinct(F.transform(F.when(F.size(some) > 0, some).otherwise(whole), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.array_distinct(F.transform(F.when(F.size(some) > 0, some).otherwise(whole), lambda h: F.shiftright(h, 32).cast("int")))
 
 
 def with_spots(df: DataFrame, text: Column, name: str = "spots", anchors: list[str] | None = None, chain: int = CHAIN) -> DataFrame:
@@ -56,7 +56,7 @@ def with_spots(df: DataFrame, text: Column, name: str = "spots", anchors: list[s
 
 def fingerprint(spots: Column) -> Column:
     """A set of spots as text: eight hexadecimal digits for each, in order. Equal texts have equal fingerprints."""
-    return F.array_join(F.sort_array(F.transform(spots, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0"))), "")
+    return F.array_join(F.sort_array(F.transform(spots, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,20 +66,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """Adds ``next_id, next_print``, the key that follows; the first one follows the last. ``keys(doc_id, print, ...)`` are distinct.
+    """Adds ``next_doc, next_print``, the key that follows; the first one follows the last. ``keys(doc, print, ...)`` are distinct.
 
     Keys are dealt in ranges, so that each task orders its own; what follows a range is the first key of the next one, of
     which there are as many as ranges.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(keys.repartitionByRange(parts, "doc_id", "print").withColumn("_range", F.spark_partition_id()), "ranges")
-    key = F.struct("doc_id", "print")
-    inside = placed.withColumn("_next", F.lead(key).over(W.partitionBy("_range").orderBy("doc_id", "print")))
+    placed = written(keys.repartitionByRange(parts, "doc", "print").withColumn("_range", F.spark_partition_id()), "ranges")
+    key = F.struct("doc", "print")
+    inside = placed.withColumn("_next", F.lead(key).over(W.partitionBy("_range").orderBy("doc", "print")))
     firsts = placed.groupBy("_range").agg(F.min(key).alias("_first"))
     row = W.orderBy("_range")  # a row for each range
     after = firsts.select("_range", F.coalesce(F.lead("_first").over(row), F.first("_first").over(row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_after"))
     both = inside.join(F.broadcast(after), "_range")
-    out = written(both.select(*keys.columns, F.coalesce("_next", "_after").alias("_n")).select(*keys.columns, F.col("_n.doc_id").alias("next_id"), F.col("_n.print").alias("next_print")), "successors")
+    out = written(both.select(*keys.columns, F.coalesce("_next", "_after").alias("_n")).select(*keys.columns, F.col("_n.doc").alias("next_doc"), F.col("_n.print").alias("next_print")), "successors")
     discard(placed)
     return out
 
@@ -96,18 +96,19 @@ def compare_edits(docs: DataFrame, part: int = 4, anchors: list[str] | None = No
     an empty one; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = rows.withColumn("print", F.xxhash64("text"))
-    # both joins read the texts dealt by id and hash, so that they are shuffled once
-    base = with_spots(named, F.col("text"), "spots", anchors, chain)
-    lengths = named.select("doc_id", "print", F.floor(F.char_length("text") / part).cast("int").alias("want")).groupBy("doc_id", "print").agg(F.max("want").alias("want"))
-    order = successors(lengths)
-    n, m = order.alias("n"), base.alias("m")
-    heads = m.join(n, F.col("m.doc_id").eqNullSafe(F.col("n.next_id")) & (F.col("m.print") == F.col("n.next_print"))).select(F.col("n.doc_id").alias("own_id"), F.col("n.print").alias("own_print"), "n.want", F.expr("substring(m.text, 1, n.want)").alias("head"), F.col("m.spots").alias("next_spots"))
-    heads = heads.groupBy("own_id", "own_print").agg(F.first("want").alias("want"), F.first("head").alias("head"), F.first("next_spots").alias("next_spots"))
-    joined = base.join(heads, base["doc_id"].eqNullSafe(heads["own_id"]) & (base["print"] == heads["own_print"]))
+    # a row for each id (that is never null) and text, however often it comes: both joins read these, dealt once
+    number = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    named = rows.select(number.alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("print"), "doc_id", "text")
+    each = with_spots(named, F.col("text"), "spots", anchors, chain)
+    base = each.groupBy("doc", "print").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "spots")], F.count("*").cast("int").alias("copies"))
+    lengths = named.select("doc", "print", F.floor(F.char_length("text") / part).cast("int").alias("want")).groupBy("doc", "print").agg(F.max("want").alias("want"))
+    after = successors(lengths).select(F.col("next_doc").alias("doc"), F.col("next_print").alias("print"), F.col("doc").alias("own_doc"), F.col("print").alias("own_print"), "want")
+    # the condition always holds: with it this join reads the columns that the other one does, and Spark deals the texts once for both
+    heads = base.where("copies > 0 and (doc_id is null or doc_id = doc)").join(after, ["doc", "print"]).select(F.col("own_doc").alias("doc"), F.col("own_print").alias("print"), "want", F.expr("substring(text, 1, want)").alias("head"), F.col("spots").alias("next_spots"))
+    joined = base.join(heads, ["doc", "print"])
     edited = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - want as int)), head)"))
     both = with_spots(edited, F.col("edited"), "edited_spots", anchors, chain)
-    return both.select(
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), "edited",
     )
