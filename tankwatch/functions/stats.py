@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +29,103 @@ def mad_sigma(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return mid.join(spread, keys).select(*keys, "n", "med", "sigma")
 
 
+#: Values that one aggregate gathers for a quantile; wider ranges are narrowed first. Accuracy of the guesses.
+GATHER, ACCURACY = 20_000, 10_000
+
+
+@dataclass
+class _Search:
+    """The values of a column from ``low`` to ``high``, of which ``below`` are less than these and ``upto`` are not more."""
+
+    column: str
+    rank: int
+    part: float
+    upto: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+
+    @property
+    def size(self) -> int:
+        return self.upto - self.below
+
+    def within(self) -> Column:
+        x = F.col(self.column).cast("double")
+        ok = F.lit(True)
+        if self.low is not None:
+            ok = ok & (x >= self.low)
+        if self.high is not None:
+            ok = ok & (x <= self.high)
+        return F.when(ok, x)
+
+    def guesses(self) -> Column:
+        pad = self.size * 2 // ACCURACY + 2
+        share = lambda r: min(max((r - self.below) / self.size, 0.0), 1.0)
+        return F.percentile_approx(self.within(), F.array(F.lit(share(self.rank - pad)), F.lit(share(self.rank + 2 + pad))), F.lit(ACCURACY))
+
+    def narrow(self, low: float, high: float, below: int, upto: int) -> bool:
+        """Take what keeps both wanted ranks inside; whether this was of use."""
+        before = self.size
+        if self.below < below <= self.rank or self.low is None and below <= self.rank:
+            self.low, self.below = low, below
+        if self.rank + 1 < upto < self.upto or self.high is None and self.rank + 1 < upto:
+            self.high, self.upto = high, upto
+        return self.size < before or self.low == self.high
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float], gather: int = GATHER) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns over a whole table, as ``percentile`` gives them, by distributed selection.
+
+    A sketch guesses a range around each wanted rank, a count tells which ranks the range really holds, and so on until few
+    values are left or all are one; these alone are gathered. So no task and no buffer holds the distinct values of a column. Each round
+    is two aggregates over the table for all columns; three are enough for 10 ** 11 rows. Null values do not count; without any the
+    quantiles are null. Results do not depend on how good the guesses are.
+    """
+    counts = df.agg(*[F.count(F.col(c).cast("double")).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    found: dict[tuple[str, float], float | None] = {}
+    open_: dict[tuple[str, float], _Search] = {}
+    for k, c in enumerate(columns):
+        for q in shares:
+            at = q * (counts[k] - 1)
+            if counts[k]:
+                open_[c, q] = _Search(c, min(int(at), counts[k] - 1), at - int(at), counts[k])
+            else:
+                found[c, q] = None
+    wide = {k: s for k, s in open_.items() if s.size > gather}
+    while wide:
+        keys = list(wide)
+        row = df.agg(*[wide[k].guesses().alias(f"g{i}") for i, k in enumerate(keys)]).first()
+        x = lambda k: F.col(k[0]).cast("double")
+        seen = df.agg(*[c for i, k in enumerate(keys) for c in (F.count_if(x(k) < row[i][0]).alias(f"b{i}"), F.count_if(x(k) <= row[i][1]).alias(f"u{i}"))]).first()
+        useful = {k: wide[k].narrow(row[i][0], row[i][1], seen[2 * i], seen[2 * i + 1]) for i, k in enumerate(keys)}
+        wide = {k: s for k, s in wide.items() if useful[k] and s.size > gather and s.low != s.high}
+    for k, s in open_.items():
+        if s.low is not None and s.low == s.high:
+            found[k] = s.low
+    left = [k for k in open_ if k not in found]
+    if left:
+        ranges = {(open_[k].column, open_[k].low, open_[k].high): open_[k] for k in left}
+        names = {r: f"v{i}" for i, r in enumerate(ranges)}
+        values = df.agg(*[F.sort_array(F.collect_list(s.within())).alias(names[r]) for r, s in ranges.items()])
+        pick = []
+        for i, k in enumerate(left):
+            s = open_[k]
+            v = F.col(names[s.column, s.low, s.high])
+            pick += [F.get(v, F.lit(s.rank - s.below)).alias(f"a{i}"), F.get(v, F.lit(s.rank - s.below + 1)).alias(f"b{i}")]
+        got = values.select(*pick).first()
+        for i, k in enumerate(left):
+            a, b, part = got[2 * i], got[2 * i + 1], open_[k].part
+            found[k] = a if not part or b is None else (1 - part) * a + part * b
+    return {c: [found[c, q] for q in shares] for c in columns}
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column with count, mean, sample deviation, extremes and exact quartiles, in one pass."""
-    aggs = []
+    """One row for each column with count, mean, sample deviation, extremes and exact quartiles."""
+    shares = [0.25, 0.5, 0.75]
+    known, aggs = quantiles(df, columns, shares), []
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(F.col(c).cast("double")).alias("max")).alias(c))
+        q = [F.lit(v).cast("double").alias(n) for v, n in zip(known[c], ("q25", "q50", "q75"), strict=True)]
+        aggs.append(F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), *q, F.max(F.col(c).cast("double")).alias("max")).alias(c))
     return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("r")).select("r.*")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,62 +76,141 @@ def plausible(df: DataFrame, p: Detection = Detection()) -> DataFrame:
     return df.where((F.col("drop_gal") / F.greatest(F.col("duration_min"), F.lit(0.001)) <= p.max_rate) & (F.col("min_step_gal") <= p.max_step))
 
 
-def _slow(least: float) -> str:
-    return f"slow_{str(least).replace('.', '_')}"
-
-
-def scan(df: DataFrame, thresholds: DataFrame, p: Detection = Detection()) -> DataFrame:
+#: Starts of windows that one task tries; a longer stop is dealt out by blocks of starts.
+BLOCK = 2048
+_FOUND = "vehicle_id string, start_time timestamp, end_time timestamp, duration_min double, drop_gal double, min_step_gal double, pattern string, n_negative_steps int, seg_id long, pattern_no int, start_idx int, end_idx int"
+
+
+def _stops(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as one table for each run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in keys:
+            edge |= np.asarray(pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]))
+        begins = [0, *(np.flatnonzero(edge) + 1).tolist()]
+        if held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            held.append(batch.slice(begin, end - begin))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _windows(stop: pa.Table, p: Detection, width: int = BLOCK) -> Iterator[dict[str, np.ndarray]]:
+    """The windows of a stop that pass, start by start, for the starts of the table's block.
+
+    Drops only add up, so that the first end at which a start can pass is known from running sums: earlier ones are not tried.
+    """
+    col = lambda c: stop.column(c).to_numpy()
+    state, step_gal, cum_gal, first = stop.column("state")[0].as_py(), stop.column("step_gal")[0].as_py(), stop.column("cum_gal")[0].as_py(), int(stop.column("idx")[0].as_py())
+    t, dt = stop.column("timestamp").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy(), col("dt_s").astype(float)
+    drop = -col("drop").astype(float)
+    some = ~np.isnan(drop)
+    drop = np.where(some, drop, 0.0)
+    total, count = np.r_[0.0, np.cumsum(drop)], np.r_[0, np.cumsum(some)]
+    large = np.where(some & (drop >= step_gal), np.arange(len(t)), len(t))
+    next_large = np.minimum.accumulate(large[::-1])[::-1]
+    patterns = [(k, x, 2 if x.name.startswith("short") else 1) for k, x in enumerate(p.patterns) if x.state == state]
+    if not patterns:
+        return
+    least, longest = min(x.min_minutes for _, x, _ in patterns), max(float("inf") if x.max_minutes is None else x.max_minutes for _, x, _ in patterns)
+    has = ~np.isnan(dt)
+    steps = np.r_[0, np.cumsum(has)]
+    below = {m: np.r_[0, np.cumsum(has & (dt < m))] for m in {x.min_median_dt_s for _, x, _ in patterns}} if state == "ign_off" else {}
+    block = int(stop.column("block")[0].as_py())
+    starts = np.arange(block * width + 1 - first, min(len(t), (block + 1) * width + 1 - first))
+    # a little less than needed, as sums of the window itself are rounded
+    from_ = np.searchsorted(total[1:], total[starts] + cum_gal - 1e-6)
+    if state != "ign_off":
+        from_ = np.minimum(from_, next_large[starts])
+    from_ = np.maximum(np.maximum(from_, starts + 1), np.searchsorted(t, t[starts] + int(least * 6e7)))
+    upto = np.full(len(starts), len(t)) if longest == float("inf") else np.searchsorted(t, t[starts] + int(longest * 6e7), side="right")
+    for i, low, high in zip(starts.tolist(), from_.tolist(), upto.tolist(), strict=True):
+        if low >= high:
+            continue
+        j = np.arange(low, high)
+        sums, biggest = np.round(total[j + 1] - total[i], 9), np.maximum.accumulate(drop[i:high])[low - i :]
+        n, minutes = count[j + 1] - count[i], (t[j] - t[i]) / 6e7
+        sound = (n > 0) & (sums / np.maximum(minutes, 0.001) <= p.max_rate) & (biggest <= p.max_step)
+        for number, x, fewest in patterns:
+            ok = sound & (minutes >= x.min_minutes) & (minutes <= (np.inf if x.max_minutes is None else x.max_minutes))
+            if state == "ign_off":
+                ok &= (sums >= cum_gal) & (j - i + 1 >= x.min_points)
+                if ok.any():
+                    ok &= _slow(dt, i, low, high, steps, below[x.min_median_dt_s], x.min_median_dt_s)
+            else:
+                ok &= ((sums >= cum_gal) | (biggest >= step_gal)) & (n >= fewest)
+            k = np.flatnonzero(ok)
+            if len(k):
+                yield {"start_time": np.full(len(k), t[i]), "end_time": t[j[k]], "duration_min": minutes[k], "drop_gal": sums[k], "min_step_gal": biggest[k], "n_negative_steps": n[k], "pattern": np.full(len(k), number), "start_idx": np.full(len(k), i + first), "end_idx": j[k] + first}
+
+
+def _slow(dt: np.ndarray, i: int, low: int, high: int, steps: np.ndarray, below: np.ndarray, least: float) -> np.ndarray:
+    """Whether the median time step of the windows from ``i`` to ``low`` .. ``high`` - 1 reaches the limit, from counts of
+    steps below it; in the even case the largest one below and the smallest one not below decide."""
+    j = np.arange(low, high)
+    n, few = steps[j + 1] - steps[i + 1], below[j + 1] - below[i + 1]
+    out = 2 * few < n
+    even = (2 * few == n) & (n > 0)
+    if even.any():
+        own = dt[i + 1 : high]
+        top = np.fmax.accumulate(np.where(own < least, own, np.nan))[low - i - 1 :]
+        bottom = np.fmin.accumulate(np.where(own >= least, own, np.nan))[low - i - 1 :]
+        out = np.where(even, (top + bottom) / 2 >= least, out)
+    return out
+
+
+def scan(df: DataFrame, thresholds: DataFrame, p: Detection = Detection(), width: int = BLOCK) -> DataFrame:
     """All windows of a segment that look like a fuel drop.
 
-    Rows of a segment are paired with later rows of it, up to the longest pattern; running aggregates over the pairs of
-    one start give every window's drop and median time step without rescanning it. Segments are first cut to those whose total drop or largest
-    step can pass at all, which loses nothing.
+    The rows of a segment meet in one task, in order, and are tried there start by start with running sums, so that rows are
+    shuffled but pairs of rows never are. A long segment is dealt out by blocks of ``width`` starts, each with all rows from its
+    first start on. Segments are first cut to those whose total drop or largest step can pass at all, which loses nothing.
     """
-    rows = df.where(F.col("seg_id").isNotNull()).select("vehicle_id", "seg_id", "timestamp", "dfuel", "dt_s", "ign_off")
+    rows = df.where(F.col("seg_id").isNotNull()).select("vehicle_id", F.col("seg_id").cast("long").alias("seg_id"), "timestamp", "dfuel", "dt_s", "ign_off")
     seg = segments(df, p).withColumn("state", F.when(F.col("is_ign_off"), "ign_off").otherwise("stationary_on")).select("vehicle_id", "seg_id", "state")
     seg = with_thresholds(seg, thresholds, p)
     drop = F.when(F.col("dfuel") < p.noise_drop, F.col("dfuel"))
     placed = rows.withColumns({"idx": F.row_number().over(W.partitionBy("vehicle_id", "seg_id").orderBy("timestamp")), "drop": drop})
     able = placed.groupBy("vehicle_id", "seg_id").agg(F.sum(-F.col("drop")).alias("total"), F.max(-F.col("drop")).alias("largest"), F.count("*").alias("rows"))
     seg = seg.join(able, ["vehicle_id", "seg_id"]).where((F.col("rows") >= 2) & ((F.col("total") + 1e-9 >= F.col("cum_gal")) | (F.col("largest") >= F.col("step_gal")))).drop("total", "largest", "rows")
-    kept = placed.join(seg, ["vehicle_id", "seg_id"])
-    longest = {s: max((float("inf") if x.max_minutes is None else x.max_minutes) for x in p.patterns if x.state == s) for s in {x.state for x in p.patterns}}
-    bound = F.lit(False)
-    for state, minutes in longest.items():
-        span = F.unix_micros("b.timestamp") - F.unix_micros("a.timestamp")
-        bound = bound | ((F.col("a.state") == state) & (F.lit(True) if minutes == float("inf") else span <= int(minutes * 6e7)))
-    a, b = kept.alias("a"), placed.select("vehicle_id", "seg_id", "timestamp", "idx", "drop", "dt_s").alias("b")
-    pairs = a.join(b, (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a.seg_id") == F.col("b.seg_id")) & (F.col("b.idx") > F.col("a.idx")) & bound).select(
-        "a.vehicle_id", "a.seg_id", "a.state", "a.step_gal", "a.cum_gal", F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), F.col("a.timestamp").alias("start_time"), F.col("b.timestamp").alias("end_time"), F.col("a.drop").alias("own"), F.col("b.drop").alias("drop"), F.col("b.dt_s").alias("dt_s")
-    )
-    run = W.partitionBy("vehicle_id", "seg_id", "i").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    windows = pairs.withColumns(
-        {
-            "drop_gal": F.round(-(zero(F.col("own")) + zero(F.sum("drop").over(run))), 9),
-            "min_step_gal": -F.least(zero(F.col("own")), zero(F.min("drop").over(run))),
-            "n_negative_steps": (F.col("own").isNotNull().cast("long") + F.count("drop").over(run)).cast("int"),
-            "duration_min": (F.unix_micros("end_time") - F.unix_micros("start_time")) / 6e7,
-            "n_points": (F.col("j") - F.col("i") + 1).cast("int"),
-        }
-    )
-    # The median time step of a window, from counts that run along with it: of steps below the limit, and in the even
-    # case of the largest one below and the smallest one not below.
-    for m in sorted({x.min_median_dt_s for x in p.patterns if x.state == "ign_off"}):
-        below = F.col("dt_s") < m
-        n, few = F.count("dt_s").over(run), F.count_if(below).over(run)
-        middle = (F.max(F.when(below, F.col("dt_s"))).over(run) + F.min(F.when(~below, F.col("dt_s"))).over(run)) / 2
-        slow = F.when(2 * few < n, True).when(2 * few == n, middle >= m)
-        windows = windows.withColumn(_slow(m), F.coalesce(slow, F.lit(False)))
-    windows = windows.where("n_negative_steps > 0")
-    fits = windows.join(F.broadcast(pattern_table(df.sparkSession, p)), "state").where((F.col("duration_min") >= F.col("min_minutes")) & (F.col("max_minutes").isNull() | (F.col("duration_min") <= F.col("max_minutes"))))
-    on = (F.col("state") == "stationary_on") & ((F.col("drop_gal") >= F.col("cum_gal")) | (F.col("min_step_gal") >= F.col("step_gal"))) & (F.col("n_negative_steps") >= F.col("min_steps"))
-    off = F.lit(False)
-    for m in sorted({x.min_median_dt_s for x in p.patterns if x.state == "ign_off"}):
-        off = off | ((F.col("min_median_dt_s") == m) & F.col(_slow(m)))
-    off = off & (F.col("state") == "ign_off") & (F.col("drop_gal") >= F.col("cum_gal")) & (F.col("n_points") >= F.col("min_points"))
-    passed = fits.where(on | off)
-    return plausible(passed, p).select("vehicle_id", "start_time", "end_time", "duration_min", "drop_gal", "min_step_gal", "pattern", "n_negative_steps", "seg_id", "pattern_no", F.col("i").alias("start_idx"), F.col("j").alias("end_idx"))
+    # a row goes to its own block of starts and to those before
+    last = F.floor((F.col("idx") - 1) / width).cast("int")
+    dealt = placed.join(seg, ["vehicle_id", "seg_id"]).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    names = pa.array([x.name for x in p.patterns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stop in _stops(batches, ["vehicle_id", "seg_id", "block"]):
+            vehicle, segment = stop.column("vehicle_id")[0].as_py(), stop.column("seg_id")[0].as_py()
+            held, size = [], 0
+
+            def out() -> pa.RecordBatch:
+                c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                time = lambda k: pa.array(c[k], pa.timestamp("us", "UTC"))
+                n = len(c["pattern"])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([vehicle] * n), time("start_time"), time("end_time"), pa.array(c["duration_min"]), pa.array(c["drop_gal"]), pa.array(c["min_step_gal"]), names.take(pa.array(c["pattern"])), pa.array(c["n_negative_steps"].astype(np.int32)), pa.array([segment] * n, pa.int64()), pa.array(c["pattern"].astype(np.int32)), pa.array(c["start_idx"].astype(np.int32)), pa.array(c["end_idx"].astype(np.int32))],
+                    names=[x.split()[0] for x in _FOUND.split(", ")],
+                )
+
+            for one in _windows(stop, p, width):
+                held.append(one)
+                size += len(one["pattern"])
+                if size > 1 << 16:
+                    yield out()
+                    held, size = [], 0
+            if held:
+                yield out()
+
+    order = ["vehicle_id", "seg_id", "block", "idx"]
+    return dealt.repartition("vehicle_id", "seg_id", "block").sortWithinPartitions(*order).select(*order, "timestamp", "drop", "dt_s", "state", "step_gal", "cum_gal").mapInArrow(run, _FOUND)
 
 
 ORDER = ["vehicle_id", "seg_id", "pattern_no", "start_idx", "end_idx"]
@@ -146,27 +228,58 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.coalesce(F.try_divide(shared, (b - a) + (d - c) - shared), F.lit(0.0))
 
 
+class _Kept:
+    """Intervals that stay, found by length and place: one overlaps only such as are like it in both."""
+
+    def __init__(self, limit: float):
+        self.limit, self.step = limit, max(math.log(1 / limit), 0.05)
+        self.cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def clash(self, start: int, end: int) -> bool:
+        """Whether an interval that stays covers this one up to the limit; if not, it stays as well."""
+        length = end - start
+        if not length:  # an instant shares nothing with anything
+            return False
+        size = int(math.log(length) / self.step)
+        # lengths of a size differ by less than 1 / limit, and those that clash by no more than that
+        for near in (size - 1, size, size + 1):
+            width = math.exp((near + 2) * self.step)
+            place = int(start / width)
+            for k in (place - 1, place, place + 1):
+                for s, e in self.cells.get((near, k), ()):
+                    shared = min(end, e) - max(start, s)
+                    if shared > 0 and shared >= self.limit * (length + e - s - shared):
+                        return True
+        width = math.exp((size + 2) * self.step)
+        self.cells.setdefault((size, int(start / width)), []).append((start, end))
+        return False
+
+
 def suppress(events: DataFrame, p: Detection = Detection()) -> DataFrame:
     """Greedy suppression: by falling drop, an event goes if it overlaps one that stays.
 
-    Segments do not overlap in time, so each is settled by itself; a group holds the windows of one stop. Ties go by
-    pattern, then by the earlier start and end.
+    Segments do not overlap in time, so each is settled by itself. A task reads the windows of a stop in order, sorted by Spark, and
+    remembers those that stay, never the others, however long the stop is. Ties go by pattern, then by the earlier start and end.
+    With a limit of 0 the first one alone stays.
     """
-
-    def settle(batch: pa.Table) -> pa.Table:
-        col = lambda c: batch.column(c).to_numpy()
-        start, end = (batch.column(c).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy() for c in ("start_time", "end_time"))
-        alive = np.lexsort((col("end_idx"), col("start_idx"), col("pattern_no"), -col("drop_gal")))
-        kept = []
-        while len(alive):
-            k, alive = alive[0], alive[1:]
-            kept.append(k)
-            shared = np.maximum(0, np.minimum(end[k], end[alive]) - np.maximum(start[k], start[alive]))
-            covered = (end[k] - start[k]) + (end[alive] - start[alive]) - shared
-            alive = alive[shared < p.iou * covered if p.iou > 0 else np.zeros(len(alive), bool)]
-        return batch.take(pa.array(kept, pa.int64()))
-
-    return events.groupBy("vehicle_id", "seg_id").applyInArrow(settle, events.schema)
+    schema = events.schema
+    time = lambda c: F.unix_micros(c).alias(f"_{c}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, None
+        for batch in batches:
+            stay = []
+            vehicles, stops, starts, ends = (batch.column(c).to_pylist() for c in ("vehicle_id", "seg_id", "_start_time", "_end_time"))
+            for k, (vehicle, stop, start, end) in enumerate(zip(vehicles, stops, starts, ends, strict=True)):
+                fresh = (vehicle, stop) != now
+                if fresh:
+                    now, kept = (vehicle, stop), _Kept(p.iou) if p.iou > 0 else None
+                if fresh and kept is None or kept is not None and not kept.clash(start, end):
+                    stay.append(k)
+            yield batch.take(pa.array(stay, pa.int64())).select(schema.names)
+
+    order = [F.col("vehicle_id"), F.col("seg_id"), F.desc("drop_gal"), F.col("pattern_no"), F.col("start_idx"), F.col("end_idx")]
+    return events.select("*", time("start_time"), time("end_time")).repartition("vehicle_id", "seg_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _stored(df: DataFrame) -> DataFrame:

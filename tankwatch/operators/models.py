@@ -119,9 +119,19 @@ class Calibrated:
         return out.withColumn("score", total / len(self.models)).drop(*[f"_p{k}" for k in range(len(self.models))])
 
 
+def stratified(df: DataFrame, folds: int = 5, key: str = "event_key", label: str = "y") -> DataFrame:
+    """Adds ``_fold``: the rows of each class go round the folds in the order of their keys' hashes.
+
+    So each fold has a row of each class that has ``folds`` rows. Ranks are counted within ranges of the hash, so that no task
+    sorts a class.
+    """
+    ranked = running_sums(df.withColumns({"_hash": F.xxhash64(key), "_one": F.lit(1)}), "_hash", [label], {"_rank": "_one"})
+    return ranked.withColumn("_fold", F.pmod("_rank", F.lit(folds)).cast("int")).select(*df.columns, "_fold")
+
+
 def calibrate(df: DataFrame, stages: list, folds: int = 5, method: str = "sigmoid", key: str = "event_key") -> Calibrated:
-    """Folds go by a hash of the key; each fold's scores are mapped to rates by Platt's or isotonic regression."""
-    dealt = df.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    """Each fold's scores are mapped to rates by Platt's or isotonic regression; folds are stratified."""
+    dealt = _stored(stratified(df, folds, key))
     out = Calibrated()
     for k in range(folds):
         fit, rest = dealt.where(F.col("_fold") != k), dealt.where(F.col("_fold") == k)
@@ -272,7 +282,7 @@ def per_pattern(scores: DataFrame, fallback: float = 0.5, fpr: float = 0.05, lea
     return evaluate(scores.join(ok, "pattern", "left_semi"), fpr, ["pattern"])
 
 
-def pattern_models(df: DataFrame, numeric: list[str], binary: list[str], least: int = 30, positives: int = 5, quick: bool = True, folds: int = 3) -> dict:
+def pattern_models(df: DataFrame, numeric: list[str], binary: list[str], least: int = 30, positives: int = 5, quick: bool = False, folds: int = 5) -> dict:
     """A model for each pattern with enough rows and positives; others are skipped."""
     sizes = df.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()  # a row for each pattern
     return {r.pattern: m["logistic"] for r in sizes if r.n >= least and (r.p or 0) >= positives for m in [train_all(df.where(F.col("pattern") == r.pattern), numeric, binary, [], folds, quick, ["logistic"])] if m}

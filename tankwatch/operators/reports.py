@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tankwatch.functions.stats import median, running_sums, unpivoted
+from tankwatch.functions.stats import median, quantiles, running_sums, unpivoted
 
 
 def pct(a: Column, b: Column) -> Column:
@@ -64,7 +66,13 @@ def mann_whitney(df: DataFrame, col: str, label: str = "y") -> DataFrame:
     s = ranked.agg(F.sum(F.col("r") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     s = s.withColumn("n0", F.col("n") - F.col("n1")).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     sigma = F.sqrt(F.col("n1") * F.col("n0") / 12 * (F.col("n") + 1 - F.try_divide("ties", F.col("n") * (F.col("n") - 1))))
-    return s.select("u", F.try_divide(F.col("u") - F.col("n1") * F.col("n0") / 2, sigma).alias("z"), "n1", "n0")
+    out = s.select("u", F.try_divide(F.col("u") - F.col("n1") * F.col("n0") / 2, sigma).alias("z"), "n1", "n0")
+
+    def with_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(p=[None if pd.isna(z) else two_sided_p(z) for z in rows["z"]])
+
+    return out.mapInPandas(with_p, "u double, z double, n1 double, n0 double, p double")  # one row
 
 
 def two_sided_p(z: float) -> float:
@@ -88,9 +96,10 @@ def correlations(df: DataFrame, columns: list[str], least: float = 0.0) -> DataF
 
 def outlier_share(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
     """Share of rows beyond k interquartile ranges from the quartiles."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in columns])
-    out = lambda c: (F.col(c) < F.col(f"_{c}")[0] - k * (F.col(f"_{c}")[1] - F.col(f"_{c}")[0])) | (F.col(c) > F.col(f"_{c}")[1] + k * (F.col(f"_{c}")[1] - F.col(f"_{c}")[0]))
-    row = df.join(F.broadcast(q)).agg(*[pct(F.count_if(out(c)), F.count("*")).alias(c) for c in columns])
+    known = quantiles(df, columns, [0.25, 0.75])
+    fence = {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in known.items() if a is not None}
+    out = lambda c: (F.col(c) < fence[c][0]) | (F.col(c) > fence[c][1]) if c in fence else F.lit(False)
+    row = df.agg(*[pct(F.count_if(out(c)), F.count("*")).alias(c) for c in columns])
     return unpivoted(row, "feature", "outlier_pct")
 
 

@@ -49,10 +49,11 @@ def interpolate(df: DataFrame, p: Detection = Detection()) -> DataFrame:
     change = F.coalesce((F.col("stationary") != F.lag("stationary").over(by_time())).cast("int"), F.lit(1))
     runs = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(by_time().rowsBetween(W.unboundedPreceding, 0)))
     w = W.partitionBy("vehicle_id", "_run").orderBy("timestamp")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # what comes next is what came last in falling order: a frame that ends with the run would be summed anew for each row
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("vehicle_id", "_run").orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, 0)
     fuel = F.col("total_fuel_gal")
     placed = runs.withColumn("_i", F.row_number().over(w)).withColumn("_at", F.when(fuel.isNotNull(), F.col("_i")))
-    placed = placed.withColumns({"_v0": F.last(fuel, True).over(back), "_i0": F.last("_at", True).over(back), "_v1": F.first(fuel, True).over(ahead), "_i1": F.first("_at", True).over(ahead)})
+    placed = placed.withColumns({"_v0": F.last(fuel, True).over(back), "_i0": F.last("_at", True).over(back), "_v1": F.last(fuel, True).over(ahead), "_i1": F.last("_at", True).over(ahead)})
     fill = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_i") - F.col("_i0")) / F.nullif(F.col("_i1") - F.col("_i0"), F.lit(0))
     use = F.col("stationary") & fuel.isNull() & (F.col("_i") - F.col("_i0") <= p.max_gap_points)
     return placed.withColumn("total_fuel_gal", F.coalesce(fuel, F.when(use, fill))).select(*df.columns)

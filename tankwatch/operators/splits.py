@@ -32,9 +32,24 @@ def map_events(events: DataFrame, split: DataFrame, keep_mid: bool = True) -> Da
 
 
 def leaks(events: DataFrame) -> DataFrame:
-    """Training events that overlap a test event of their vehicle, with that event."""
-    a, b = events.where("is_train").alias("a"), events.where("not is_train").alias("b")
-    meet = (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a.start_time") <= F.col("b.end_time")) & (F.col("b.start_time") <= F.col("a.end_time"))
+    """Training events that overlap a test event of their vehicle, with that event.
+
+    A sweep over a vehicle's events by start finds those that overlap any event of the other side at all, by the latest end
+    before and the earliest start after, and cuts them where nothing overlaps: only these meet, and only within a cut.
+    """
+    rows = events.where("start_time is not null and end_time is not null and is_train is not null").select("vehicle_id", "start_time", "end_time", "is_train")
+    order = ["start_time", "end_time", "is_train"]
+    before = W.partitionBy("vehicle_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("vehicle_id").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    side = lambda c, train: F.when(F.col("is_train") == train, F.col(c))
+    latest, first = {t: F.max(side("end_time", t)).over(before) for t in (True, False)}, {t: F.min(side("start_time", t)).over(behind) for t in (True, False)}
+    other = lambda at: F.when(F.col("is_train"), at[False]).otherwise(at[True])
+    apart = F.coalesce(F.col("start_time") > F.max("end_time").over(before), F.lit(False)).cast("long")
+    meets = F.coalesce(other(latest) >= F.col("start_time"), F.lit(False)) | F.coalesce(other(first) <= F.col("end_time"), F.lit(False))
+    swept = rows.withColumns({"_meets": meets, "_apart": apart})
+    met = swept.withColumn("_cut", F.sum("_apart").over(W.partitionBy("vehicle_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where("_meets")
+    a, b = met.where("is_train").alias("a"), met.where("not is_train").alias("b")
+    meet = (F.col("a.vehicle_id") == F.col("b.vehicle_id")) & (F.col("a._cut") == F.col("b._cut")) & (F.col("a.start_time") <= F.col("b.end_time")) & (F.col("b.start_time") <= F.col("a.end_time"))
     return a.join(b, meet).select("a.vehicle_id", F.col("a.start_time").alias("train_start"), F.col("a.end_time").alias("train_end"), F.col("b.start_time").alias("test_start"), F.col("b.end_time").alias("test_end"))
 
 

@@ -462,9 +462,11 @@ def r13(spark, d):
 
 
 @query("r14_mann_whitney", f"""WITH {EVL}, g AS (SELECT drop_gal, CAST(sum(y) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS t FROM evl GROUP BY drop_gal), k AS (SELECT *, sum(t) OVER (ORDER BY drop_gal ROWS UNBOUNDED PRECEDING) - (t - 1) / 2 AS r FROM g),
-    s AS (SELECT sum(r * n1) AS r1, sum(n1) AS n1, sum(t) AS n, sum(t*t*t - t) AS ties FROM k) SELECT round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, n1, n - n1 AS n0 FROM s""")
+    s AS (SELECT sum(r * n1) AS r1, sum(n1) AS n1, sum(t) AS n, sum(t*t*t - t) AS ties FROM k), zz AS (SELECT abs(r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))) / sqrt(2.0) AS x FROM s),
+    zt AS (SELECT x, 1 / (1 + 0.3275911 * x) AS t FROM zz), pz AS (SELECT t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS pv FROM zt)
+    SELECT round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, n1, n - n1 AS n0, round(pv, 4) AS p FROM s, pz""")
 def r14(spark, d):
-    return reports.mann_whitney(labelled(spark, d), "drop_gal")
+    return reports.mann_whitney(labelled(spark, d), "drop_gal").withColumn("p", F.round("p", 4))
 
 
 @query("r15_rate_by_hour", f"WITH {EVL}, h AS (SELECT y, {_HR} AS h FROM evl), m AS (SELECT min(h) AS a, max(h) AS b FROM h) SELECT greatest(0, CAST(ceil((h - a) / ((b - a) / 24)) AS INT) - 1) AS bin, count(*) AS n, round(avg(y), 6) AS rate FROM h, m GROUP BY bin")
@@ -591,7 +593,8 @@ def m14(spark, d):
 
 @query("m29_bootstrap")
 def m29(spark, d):
-    return metrics.bootstrap(scored(spark, d), F.sum(F.col("w") * F.col("y")) / F.sum("w"), 1000, key="event_id")
+    """Precision, recall and false positive rate at 0.5, with intervals."""
+    return metrics.bootstrap(scored(spark, d), F.col("score") >= 0.5, key="event_id")
 
 
 @query("m31_evaluate_at_threshold", f"WITH {SC}, {_cv('grp')} SELECT grp, round(a.pr_auc, 6) AS pr_auc, t.threshold FROM (SELECT grp, sum(precision * p / pos) AS pr_auc FROM cr GROUP BY grp) a JOIN (SELECT grp, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tpr DESC, score DESC) AS k FROM co WHERE fp <= CASE WHEN neg < 20 THEN 1 ELSE floor(neg * 0.05) END) WHERE k = 1) t USING (grp)")

@@ -8,13 +8,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tankwatch.functions import parse
-from tankwatch.operators import detection, features, hotspots, jobs, metrics, models, quality, scoring, signal, splits
+from tankwatch.operators import detection, features, hotspots, jobs, metrics, models, quality, scoring, segments, signal, splits
 from tankwatch.plans import q_events, q_models
 from tankwatch.plans.q_basic import hav, r6
 from tankwatch.plans.q_events import EV, KEYS, LAB, SC, SEG, SMALL, SPLIT, THR, _cv, found, mapped, placed, scored
 from tankwatch.plans.q_models import _csv, _path
 from tankwatch.plans.telemetry import SCALED, TEL, telemetry
 from tankwatch.sources import ingest
+from tankwatch.streaming import streams
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -145,6 +146,30 @@ def i3(spark, d):
     return scoring.detected(t, SCALED, spark.read.parquet(path)).select(*KEYS[:3], "duration_min", "drop_gal", "min_step_gal", "pattern", "n_negative_steps")
 
 
+_IN_TIME = EV.replace(" FROM events)", f" FROM events WHERE NOT ({q_models.LATE}))", 1)
+
+
+@query("i11_stream_driver", f"WITH RECURSIVE {_IN_TIME}, {_kept('ev')} SELECT {_EVENT}, CAST(least(drop_gal / 100, 0.99) >= 0.5 AS INT) AS is_theft FROM nms")
+def i11(spark, d):
+    """Telemetry files as a stream, one after another: events of the segments that have closed, scored batch by batch.
+
+    The second part brings every fiftieth row long after its time; what the watermark drops takes no part.
+    """
+    first, second, last = q_models._timed(spark, d, telemetry(spark, d), late=True)
+    middle = first.agg(F.percentile_approx("timestamp", 0.5, 100).alias("_middle"))
+    halves = first.join(F.broadcast(middle))
+    parts = [halves.where("timestamp <= _middle").drop("_middle"), halves.where("timestamp > _middle").drop("_middle"), second, last]
+    src, out, state, noise = (_path(spark, n) for n in ("in", "out", "state", "noise"))
+    known = ingest.union([first, second.where(F.col("timestamp") > F.lit(first.agg(F.max("timestamp")).first()[0]))])
+    ingest.save_table(detection.noise_thresholds(segments.with_segment(signal.derive(known, SCALED), SCALED), SCALED), noise, None)
+    score = lambda e, rows: scoring.decide(e.withColumn("score", F.least(F.col("drop_gal") / 100, F.lit(0.99))))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        streams.detect_batches(stream, spark.read.parquet(noise), score, out, state, SCALED)
+    return spark.read.parquet(f"{out}/events").select(*KEYS[:3], "duration_min", "drop_gal", "min_step_gal", "pattern", "n_negative_steps", "is_theft")
+
+
 #: Thresholds from training rows, then all rows of the events.
 _TRAINED = EV.replace("FROM placed WHERE stationary_on", "FROM placed JOIN cuts USING (vehicle_id) WHERE stationary_on AND timestamp <= cut").replace("FROM placed WHERE ign_off", "FROM placed JOIN cuts USING (vehicle_id) WHERE ign_off AND timestamp <= cut").replace("pv AS (", f"{SPLIT}, pv AS (", 1)
 _MIDT = "make_timestamp((epoch_us(e.start_time) + epoch_us(e.end_time)) // 2)"

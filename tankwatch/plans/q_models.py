@@ -329,7 +329,8 @@ def _streamed(spark, parts: list[DataFrame], build) -> DataFrame:
     for part in parts:
         part.write.mode("append").parquet(src)
         made = build(spark.readStream.schema(part.schema).parquet(src))
-        made.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        with streams.state_store(spark):
+            made.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
 
 
@@ -365,11 +366,11 @@ def x3(spark, d):
     return _streamed(spark, _timed(spark, d, rows), lambda df: streams.sessions(df, SCALED))
 
 
-@query("x1_stateful_segments", f"WITH {SEG.replace(' FROM events)', f' FROM events WHERE NOT ({LATE}))', 1)} SELECT vehicle_id, start_time, end_time, is_ign_off FROM segs")
+@query("x1_stateful_segments", f"WITH {SEG.replace(' FROM events)', f' FROM events WHERE NOT ({LATE}))', 1)} SELECT vehicle_id, seg_id, start_time, end_time, is_ign_off FROM segs")
 def x1(spark, d):
     """A stream in three parts; the second brings every fiftieth row long after its time, which the watermark drops."""
-    rows = signal.derive(telemetry(spark, d), SCALED).select("event_id", "vehicle_id", "timestamp", "stationary", "ign_off")
-    return _streamed(spark, _timed(spark, d, rows, late=True), lambda df: streams.stateful_segments(df, SCALED)).select("vehicle_id", "start_time", "end_time", "is_ign_off")
+    closed = _streamed(spark, _timed(spark, d, telemetry(spark, d), late=True), lambda df: streams.closed_segments(df, SCALED))
+    return streams.stateful_segments(closed, SCALED).select("vehicle_id", "seg_id", "start_time", "end_time", "is_ign_off")
 
 
 @query("s3_tolerant_scan", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
@@ -449,14 +450,16 @@ def i1(spark, d):
     return scoring.score_telemetry(m["boosted"], telemetry(spark, d), norms, [*NUM, *BIN, "pattern"], SCALED).select("vehicle_id", "start_time", "end_time", "pattern", "score", "is_theft", "risk_level")
 
 
-@query("i10_micro_batches", "SELECT CAST(count(*) AS BIGINT) AS n_events FROM events")
+@query("i10_micro_batches", f"WITH {SC} SELECT event_id, CAST(score >= 0.5 AS INT) AS is_theft, CAST((SELECT count(*) FROM sc) AS BIGINT) AS n_events, CAST((SELECT count(*) FROM sc WHERE score >= 0.5) AS BIGINT) AS n_thefts FROM sc")
 def i10(spark, d):
+    """Every scored row, with the totals of the batches' summaries."""
     src, out = _path(spark, "in"), _path(spark, "out")
     rows = scored(spark, d)
     rows.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     streams.run_batches(stream, lambda df, batch: scoring.decide(df.withColumn("pattern", F.lit("short_stationary"))), out, _path(spark, "state"))
-    return spark.read.parquet(f"{out}/batches").agg(F.sum("n_events").alias("n_events"))
+    sums = spark.read.parquet(f"{out}/batches").agg(F.sum("n_events").alias("n_events"), F.sum("n_thefts").alias("n_thefts"))
+    return spark.read.parquet(f"{out}/events").select("event_id", "is_theft").join(F.broadcast(sums))
 
 
 @query("x2_late_data", f"""WITH w AS (SELECT make_timestamp((epoch_us(max(ts)) // 1000 - 7200000) * 1000) AS mark FROM events WHERE ts <= {CUT} AND NOT ({LATE}))

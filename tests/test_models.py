@@ -180,6 +180,9 @@ def test_reasons(spark):
         ["low confidence theft (50.0%)"],
     ]
     assert scoring.required_features(None) == scoring.FEATURES and len(scoring.FEATURES) == 32
+    # the exact value is rounded, half to even: 9.15 is a little more than it says, 9.25 just that, 0.15 a little less
+    texts = [r.x for r in spark.createDataFrame([(9.15,), (9.25,), (9.35,), (0.15,)], "duration_min double").select(scoring.explanations(spark.createDataFrame([], "duration_min double")).alias("x")).collect()]
+    assert texts == [[f"Short duration: {v:.1f} minutes"] for v in (9.15, 9.25, 9.35, 0.15)]
 
 
 def test_files_are_scored_each_by_itself(spark, sf, tmp_path):
