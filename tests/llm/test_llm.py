@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tankwatch.llm import common, decontaminate, embeddings, language, lines, lm, ngram_join, packing, queries, substrings, toxicity, url_filter
+from tankwatch.llm import collocations, common, conversations, decontaminate, embeddings, language, lines, lm, ngram_join, packing, queries, spots, substrings, toxicity, url_filter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -478,3 +478,167 @@ def test_pipeline_stages_equal_brute_force(spark, sf):
     assert {r.doc_id for r in after} == clean
     packed = stages["packing"](spark, docs, sf).collect()
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in after) and stages["packing"](spark, docs.where("false"), sf).count() == 0
+
+
+def _phrases(rows, words=4, least=30, top=2000, covered=80):
+    """Phrases of each language by counting texts."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        n[lang] += 0
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, words + 1):
+                f.update((lang, tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    cand = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    longest = Counter()
+    for (lang, p), a in cand.items():
+        for m in range(2, len(p)):
+            for i in range(len(p) - m + 1):
+                longest[lang, p[i : i + m]] = max(longest[lang, p[i : i + m]], a)
+    out = []
+    for lang in n:
+        best = []
+        for (x, p), a in cand.items():
+            if x == lang and 100 * longest[x, p] < covered * a:
+                score, k = min((2000000 * a // (f[x, p[:k]] + f[x, p[k:]]), k) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), k, f[x, p[:k]], f[x, p[k:]]))
+        out += [(lang, r, p.decode(), -a, left, right, n[lang], -s) for r, (s, a, p, _, left, right) in enumerate(sorted(best)[:top], 1)]
+    return sorted(out)
+
+
+def test_op11_collocations(spark, docs, none):
+    rng = np.random.default_rng(3)
+    pick = lambda k: " ".join(rng.choice(["New", "york", "the", "CITY", "of\tü", "a,b", "x.", "ß  q", "n\x0bm"], k).tolist())
+    rows = [(k, ["en", "de", None][k % 3], pick(int(rng.integers(1, 60)))) for k in range(150)]
+    rows += [(500, "en", None), (501, None, ""), (502, "en", " \t .,;"), (503, "fr", "only these few words"), (None, "en", "new york " * 40), (7, "en", "the city of " * 15_000), (7, "en", "the city of " * 15_000)]
+    own = spark.createDataFrame([(*r, r[2], 0) for r in rows], "doc_id long, lang string, text string, phrase string, words int")
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    for bits in (64, 7):  # of 7 bits, most fingerprints are shared: texts tell them apart
+        for least, top in ((30, 2000), (3, 40)):
+            got = collocations.collocations(own, least=least, top=top, bits=bits).select(*columns).collect()
+            assert sorted(map(tuple, got)) == _phrases([r[1:] for r in rows], least=least, top=top)
+    assert collocations.collocations(none.selectExpr("doc_id", "text", "cast(null as string) lang")).count() == 0
+
+
+def _repaired(rows):
+    """Conversations damaged and repaired by trying all edits."""
+    white = " \t\n\x0b\x0c\r"
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    convs = {}
+    for conv, turn, role, text in rows:
+        held = convs.setdefault(conv, [])
+        what = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = (" " if x is None else x for x in (role, text))
+        text = "" if what == 1 else "".join(c for c in text if c not in ".!?") if what == 2 else text
+        held += [(turn, "user" if what == 4 else role, text)] * {0: 0, 3: 2}.get(what, 1)
+    out = {}
+    for conv, v in convs.items():
+        v.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()))
+        faults, seen = [], set()
+        for _, role, text in v:
+            shown = text.rstrip(white)
+            faults.append("blank" if not shown else "duplicate" if (role, text) in seen else "truncated" if shown[-1] not in ".!?" else "")
+            seen.add((role, text))
+
+        best = {(len(v), at): [min([(0, "", ())] if at in ("", "a") else [(3, "I", (("assistant", ""),))] if at == "u" else [(6, "II", (("user", ""), ("assistant", "")))])] for at in ("", "s", "u", "a")}
+        for i in range(len(v) - 1, -1, -1):
+            _, role, text = v[i]
+            extra = 3 * (faults[i] == "truncated")
+            plain = {}
+            for at in ("", "s", "u", "a"):
+                after = lambda to: best[i + 1, to][0]  # noqa: E731, B023
+                able = [(4 + after(at)[0], "D" + after(at)[1], after(at)[2])]
+                if faults[i] not in ("blank", "duplicate"):
+                    for new, edit, price in ((role, "K", 0), ("user", "R", 3), ("assistant", "R", 3)):
+                        if (at, new[:1]) in step:
+                            x = after(step[at, new[:1]])
+                            able.append((price + extra + x[0], edit + x[1], ((new, text), *x[2])))
+                plain[at] = able
+            for at in ("", "s", "u", "a"):
+                able, now, put = list(plain[at]), at, ()
+                for k in range(1, 4):
+                    new = "assistant" if now == "u" else "user"
+                    now, put = step[now, new[0]], (*put, (new, ""))
+                    able += [(3 * k + c, "I" * k + e, (*put, *r)) for c, e, r in plain[now]]
+                best[i, at] = [min(able)]
+        cost, audit, repaired = best[0, ""][0]
+        pairs, turns = [a[1][:1] + b[1][:1] for a, b in zip(v, v[1:])], [r[0] for r in v if r[0] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[conv] = (gaps, *(faults.count(n) for n in ("blank", "duplicate", "truncated")), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in repaired).encode()).hexdigest())
+    return out
+
+
+def test_op12_conversations(spark, sf):
+    rng = np.random.default_rng(5)
+    one = lambda x: x[int(rng.integers(len(x)))]
+    rows = [(one([None, 1, 2, 3, 4]), one([None, 0, 1, 2, 3, 4, 5, 9]), one(["user", "assistant", "system", "tool", "", None, "sage"]), one([None, "", " \x0b", "hi.", "what?", "cut", "x!! \n", "a b", "é."])) for _ in range(200)]
+    rows += [(77, k, ("user", "assistant")[k % 2], f"t{k}" + ".," [k % 3 == 0]) for k in range(600)] + [(78, k, "user", "same.") for k in range(50)] + [(79, 1, "user", "long. " * 20_000)] * 3
+    rows += [(100 + k, 0, "user", "gone.") for k in range(60)]  # of some, no row is left
+    own = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, audit string, copies int")
+    got = {r[0]: tuple(r[1:]) for r in conversations.repair(own.repartition(5)).collect()}
+    assert got == _repaired(rows) and any(v[6] == "" for v in got.values())
+    assert conversations.repair(own.where("false")).count() == 0
+    as_is = {r.conv_id: r.audit for r in conversations.repair(own.where("conv_id = 77"), damage=False).collect()}
+    assert as_is == {77: "K" * 600}
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    want = _repaired([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+    assert {r[0]: tuple(r[1:]) for r in queries.op12_conversations(spark, sf).collect()} == want
+
+
+def test_op12_long_conversations_stay_small_at_a_node():
+    """Every rest is a node, and what a node holds does not grow with the rest."""
+    automaton = conversations.Automaton()
+    text = "".join(chr(conversations.BASE + int(c)) for c in np.random.default_rng(1).integers(0, 20, 50_000))
+    cost, audit = automaton.solve(text)
+    assert len(audit) - audit.count("I") == len(text) and cost > 0
+    assert len(automaton.seen) < 2_000 and len({id(x) for x in automaton.path}) < 2_000
+    assert automaton.solve(text[1:]) == conversations.Automaton().solve(text[1:]) and len(automaton.path) == len(text)
+
+
+def test_op13_spots(spark, docs, sf, odd, none):
+    got = {r.doc_id: r for r in queries.op13_spots(spark, sf).collect()}
+    texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    assert len(got) == len(texts)
+    prints = {}
+    for k, (doc, text) in enumerate(texts):
+        m, after = len(text) // 4, texts[(k + 1) % len(texts)][1]
+        row = got[doc]
+        assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256((text[: len(text) - m] + after[:m]).encode()).hexdigest())
+        assert prints.setdefault(text, row.fingerprint) == row.fingerprint
+        sets = [{x[i : i + 8] for i in range(0, len(x), 8)} for x in (row.fingerprint, row.edited_fingerprint, got[texts[(k + 1) % len(texts)][0]].fingerprint)]
+        for other, near in zip(sets[1:], (row.near_edited, row.near_next), strict=True):
+            assert abs(len(sets[0] & other) / len(sets[0] | other) - near) < 1e-12
+    likely = [r.near_edited for r in got.values() if r.n_chars > 400]
+    assert np.mean(np.array(likely) > 0.4) > 0.9 and np.mean([r.near_next < 0.2 for r in got.values()]) > 0.9
+    rows = spots.compare_edits(odd).orderBy("doc_id", "n_chars").collect()
+    # the null id comes first and, of an id's rows, equal ones are one document; each row has its result
+    assert len(rows) == len(ODD) and rows[0].doc_id is None and len({r.fingerprint for r in rows if r.doc_id in (6, 7)}) == 1
+    last = next(r for r in rows if r.doc_id == 8)
+    assert last.n_chars == 60_000 and last.edited == ("x " * 30_000)[:45_000] + dict(ODD[5:6])[None]
+    assert spots.compare_edits(none).count() == 0
+    alone = spots.compare_edits(odd.where("doc_id = 4")).collect()
+    assert [r.edited for r in alone] == ["one"] * 2  # three letters have no quarter
+
+
+def test_op13_anchors_and_chains(spark):
+    """Spots by hand: each common word with the content words after it."""
+    texts = [(1, "The big dog is on the green hill of home"), (2, "the BIG dog -- is on the green hill, of home!"), (3, "menu | home | contact us | about page"), (4, "?!"), (5, None), (6, "")]
+    df = spots.with_spots(spark.createDataFrame(texts, "doc_id long, text string"), F.col("text"))
+    found = {r.doc_id: r.spots for r in df.collect()}
+    # the:big-dog, is:green-hill, on:green-hill, the:green-hill; "of" has one word after it only
+    assert len(found[1]) == 4 and found[1] == found[2] and len(found[3]) == 3 and found[5] == found[6] != found[4]
+
+
+def test_op13_near_duplicates(spark, docs, odd, none):
+    extra = [(90_000 + k, r.text + " the last words of it") for k, r in enumerate(docs.where("text is not null").limit(40).collect())]
+    rows = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_spots, r.component_id) for r in spots.near_duplicates(rows.withColumn("node", F.lit(1)).withColumn("spots", F.lit("x"))).collect()}
+    sets = {r.doc_id: set(r.spots) for r in spots.with_spots(rows, F.col("text")).collect()}
+    ids = sorted(sets)
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if 100 * len(sets[ids[a]] & sets[ids[b]]) >= 80 * len(sets[ids[a]] | sets[ids[b]])]
+    want = roots(len(ids), links)
+    assert got == {d: (len(sets[d]), ids[want[k]]) for k, d in enumerate(ids)} and any(r != k for k, r in enumerate(want))
+    assert spots.near_duplicates(none).count() == 0
+    assert {r.doc_id for r in spots.near_duplicates(odd).collect()} == {i for i, _ in ODD if i is not None}
