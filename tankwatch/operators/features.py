@@ -19,6 +19,10 @@ NUMERIC = ["drop_gal", "duration_min", "min_step_gal", "n_points", "median_dt_s"
 BINARY = ["is_weekend", "is_night", "is_first_event_of_day"]
 
 
+#: A deviation up to this is what rounding leaves of equal values.
+NO_SPREAD = 1e-9
+
+
 def statistics(events: DataFrame, points: DataFrame, noise: float = -0.10) -> DataFrame:
     step = F.when(F.col("dfuel") < noise, F.col("dfuel"))
     own = points.groupBy("event_key").agg(
@@ -88,7 +92,7 @@ def fit_norms(events: DataFrame, columns: list[str] = NORMALISED) -> DataFrame:
     """Mean and deviation by vehicle on training rows; a deviation of zero or none becomes tiny."""
     rows = events.where("is_train") if "is_train" in events.columns else events
     aggs = [x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
-    return rows.groupBy("vehicle_id").agg(*aggs).withColumns({f"{c}_std": F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1e-6) for c in columns})
+    return rows.groupBy("vehicle_id").agg(*aggs).withColumns({f"{c}_std": F.when(F.col(f"{c}_std") > NO_SPREAD, F.col(f"{c}_std")).otherwise(1e-6) for c in columns})
 
 
 def zscores(events: DataFrame, norms: DataFrame, columns: list[str] = NORMALISED) -> DataFrame:

@@ -288,6 +288,20 @@ def pattern_models(df: DataFrame, numeric: list[str], binary: list[str], least:
     return {r.pattern: m["logistic"] for r in sizes if r.n >= least and (r.p or 0) >= positives for m in [train_all(df.where(F.col("pattern") == r.pattern), numeric, binary, [], folds, quick, ["logistic"])] if m}
 
 
+def pattern_results(own: dict, test: DataFrame, fpr: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """A result row for each pattern's own model over its test rows: average precision, the report at its threshold, which is the one
+    nearest the wanted false positive rate; and the scores."""
+    parts = [predict({k: m}, test.where(F.col("pattern") == k)) for k, m in own.items()]
+    scores = predict({}, test)
+    for part in parts:
+        scores = scores.unionByName(part)
+    scores = _stored(scores)
+    t = metrics.threshold_nearest_fpr(scores, fpr, ["pattern"])
+    hit = scores.join(t, "pattern")
+    rows = metrics.average_precision(scores, ["pattern"]).join(metrics.report(hit, F.col("score") >= F.col("threshold"), ["pattern"]), "pattern").join(t, "pattern")
+    return rows, scores
+
+
 def blend(scores: DataFrame, how: str = "mean", weights: dict[str, float] | None = None, key: str = "event_key") -> DataFrame:
     """One score from all models: mean, weighted, max, median, or mean of ranks."""
     if how == "weighted":

@@ -296,7 +296,7 @@ def k8(spark, d):
 
 
 _NRM = ["drop_gal", "duration_min"]
-NORM = "norms AS (SELECT vehicle_id, " + ", ".join(f"avg({c}) AS {c}_mean, CASE WHEN stddev_samp({c}) > 0 THEN stddev_samp({c}) ELSE 1e-6 END AS {c}_std" for c in _NRM) + " FROM mapped WHERE is_train GROUP BY vehicle_id)"
+NORM = "norms AS (SELECT vehicle_id, " + ", ".join(f"avg({c}) AS {c}_mean, CASE WHEN stddev_samp({c}) > 1e-9 THEN stddev_samp({c}) ELSE 1e-6 END AS {c}_std" for c in _NRM) + " FROM mapped WHERE is_train GROUP BY vehicle_id)"
 
 
 @query("f12_norms", f"WITH {EV}, {SPLIT}, {TRAIN}, {NORM} SELECT vehicle_id, {', '.join(f'round({c}_{k}, 6) AS {c}_{k}' for c in _NRM for k in ('mean', 'std'))} FROM norms")

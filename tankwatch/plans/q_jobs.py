@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tankwatch.functions import parse
 from tankwatch.operators import detection, features, hotspots, jobs, metrics, models, quality, scoring, segments, signal, splits
-from tankwatch.plans import q_events, q_models
+from tankwatch.plans import q_basic, q_events, q_models
 from tankwatch.plans.q_basic import hav, r6
-from tankwatch.plans.q_events import EV, KEYS, LAB, SC, SEG, SMALL, SPLIT, THR, _cv, found, mapped, placed, scored
-from tankwatch.plans.q_models import _csv, _path
-from tankwatch.plans.telemetry import SCALED, TEL, telemetry
+from tankwatch.plans.q_events import EV, KEYS, LAB, SC, SEG, SMALL, SPLIT, THR, TRAIN, _cv, found, mapped, placed, scored
+from tankwatch.plans.q_models import BIN, NUM, _csv, _path
+from tankwatch.plans.telemetry import GAPS, SCALED, TEL, _sql, telemetry
 from tankwatch.sources import ingest
 from tankwatch.streaming import streams
 
@@ -31,15 +31,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _few(spark, d):
-    """Events with the columns that detection gives them, a label and the side of the split: enough for small models."""
-    e = features.clock(features.labels(found(spark, d), telemetry(spark, d)))
-    return models.stored(splits.map_events(e, splits.rank_split(telemetry(spark, d)), False))
-
-
-FEW, FLAGS = ["drop_gal", "duration_min", "min_step_gal", "n_negative_steps"], ["is_weekend", "is_night"]
-
-
 @query("s7_reload", f"WITH {TEL} SELECT event_id, vehicle_id, date_trunc('second', timestamp) AS timestamp FROM tel")
 def s7(spark, d):
     """Stored with the time as text, read back as UTC."""
@@ -58,14 +49,19 @@ def p2(spark, d):
     return t.select("ref", col(pick(["unit", "vehiculo"])).alias("vehicle"), col(pick(["velocidad", "speed"])).alias("speed"), col(pick(["total_fuel", "fuel"])).alias("on_left"), col(pick(["y"])).alias("nothing"))
 
 
-@query("p3_required", f"WITH {TEL} SELECT event_id, 'speed' AS lacking FROM tel")
+_ASKED = ["vehicle_id", "speed", "total_fuel_gal", "odometer", "latitude"]
+
+
+@query("p3_required", f"WITH {GAPS} " + " UNION ALL ".join(f"SELECT '{c}' AS asked, 'missing columns: {c}' AS error, CAST(0 AS BIGINT) AS n" if c in ("speed", "odometer") else f"SELECT '{c}', CAST(NULL AS VARCHAR), count({c}) FROM gaps" for c in sorted(_ASKED, key=lambda c: c not in ("speed", "odometer"))))
 def p3(spark, d):
-    t = telemetry(spark, d)
-    try:
-        quality.require(t, ["vehicle_id", "timestamp", "speed"])
-    except ValueError as e:
-        lacking = str(e).rpartition(" ")[2].strip("[]'")
-    return quality.require(t).select("event_id", F.lit(lacking).alias("lacking"))
+    """Columns that are there with their values, and the error for those that are not."""
+    t, parts = telemetry(spark, d, gaps=True), []
+    for c in _ASKED:
+        try:
+            parts.append(quality.require(t, [c]).agg(F.lit(c).alias("asked"), F.lit(None).cast("string").alias("error"), F.count(c).alias("n")))
+        except ValueError as e:
+            parts.append(t.agg(F.lit(c).alias("asked"), F.lit(str(e)).alias("error"), F.lit(0).cast("long").alias("n")))
+    return ingest.union(parts)
 
 
 _CELLS = f"""a AS (SELECT event_id AS a, vehicle_id, latitude AS la, longitude AS lo FROM tel WHERE event_id % 10 = 0), b AS (SELECT event_id AS b, vehicle_id, latitude AS lb, longitude AS lp FROM tel WHERE event_id % 10 = 5)
@@ -203,8 +199,8 @@ def m9(spark, d):
     """A model that cannot be fitted does not stop the others; the failure is told by name."""
     from pyspark.ml.classification import LogisticRegression
 
-    s = _few(spark, d)
-    m = models.train_all(s, FEW, FLAGS, ["pattern"], q_models.FOLDS, False, ["logistic"], {"broken": LogisticRegression(labelCol="absent")})
+    s = q_models._set(spark, d)
+    m = models.train_all(s, NUM, BIN, ["pattern"], q_models.FOLDS, False, ["logistic"], {"broken": LogisticRegression(labelCol="absent")})
     keys = found(spark, d).select("event_key", *KEYS)
     return models.predict(m, s).drop("pattern").join(keys, "event_key").select(*KEYS, F.col("model").alias("fitted"), F.lit(",".join(sorted(m.failures))).alias("failed"))
 
@@ -229,70 +225,179 @@ def i2(spark, d):
     return ingest.union([scoring.ensure_standard(ingest.read_csv(spark, _csv(spark, d))).select(*keep), own.select("vehicle_id", F.date_trunc("second", "timestamp").alias("timestamp"), "total_fuel_gal")])
 
 
-@query("i14_required_features", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, '{','.join([*FEW, 'pattern', *FLAGS])}' AS features FROM ev")
+@query("i14_required_features", f"WITH {EV} SELECT name, CAST(place AS INT) AS place, CAST((SELECT count(*) FROM ev) AS BIGINT) AS n_filled FROM (VALUES {', '.join(f'({k}, {chr(39)}{c}{chr(39)})' for k, c in enumerate(sorted([*NUM, 'pattern', *BIN])))}) v(place, name)")
 def i14(spark, d):
-    """The list that a fitted pipeline names itself."""
-    names = scoring.required_features(Pipeline(stages=models.preprocessing(FEW, FLAGS, ["pattern"])).fit(_few(spark, d)))
-    order = [*FEW, "pattern", *FLAGS]
-    return found(spark, d).select(*KEYS, F.lit(",".join(sorted(names, key=order.index))).alias("features"))
+    """The list that a fitted pipeline names itself, each with the events that have a value of it once it is filled."""
+    s = q_models._set(spark, d)
+    names = sorted(scoring.required_features(Pipeline(stages=models.preprocessing(NUM, BIN, ["pattern"])).fit(s)))
+    filled = scoring.fill_features(s, names).agg(*[F.count(c).alias(c) for c in names])
+    return filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("place"), F.col(c).alias("n_filled")) for k, c in enumerate(names)])).alias("r")).select("r.*")
 
 
-@query("v17_compatible", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, 'missing features: drop_gal, is_night' AS error FROM ev")
+@query("v17_compatible", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, CASE WHEN drop_gal > 40 THEN 'missing features: drop_gal, is_night' ELSE '' END AS error FROM ev")
 def v17(spark, d):
-    s = _few(spark, d)
-    model = Pipeline(stages=models.preprocessing(FEW, FLAGS, ["pattern"])).fit(s)
-    models.compatible(model, s)
-    try:
-        models.compatible(model, s.drop("drop_gal", "is_night"))
-        error = ""
-    except ValueError as e:
-        error = str(e)
-    return found(spark, d).select(*KEYS, F.lit(error).alias("error"))
-
-
-def _artefacts(spark, d) -> scoring.Artefacts:
-    """A model fitted on training events, with the training's norms, noise and pattern thresholds, stored and loaded."""
-    s = _few(spark, d)
-    model = Pipeline(stages=[*models.preprocessing(FEW, FLAGS, ["pattern"]), models.logistic(s.count())]).fit(models.balanced(s.where("is_train")))
-    t, path = placed(spark, d), _path(spark, "artefacts")
-    thresholds = s.groupBy("pattern").agg((F.count("*") * 0 + 0.4).alias("threshold"))
-    scoring.Artefacts(model, features.fit_norms(features.with_rate(s)), detection.noise_thresholds(t, SCALED), thresholds).save(path)
+    """Events with a large drop are offered without two columns that the model reads."""
+    s = q_models._set(spark, d)
+    model = Pipeline(stages=models.preprocessing(NUM, BIN, ["pattern"])).fit(s)
+
+    def error(df):
+        try:
+            models.compatible(model, df)
+            return ""
+        except ValueError as e:
+            return str(e)
+
+    large, rest = s.where("drop_gal > 40"), s.where("drop_gal <= 40")
+    told = large.select("event_key", F.lit(error(large.drop("drop_gal", "is_night"))).alias("error")).union(rest.select("event_key", F.lit(error(rest)).alias("error")))
+    return found(spark, d).select("event_key", *KEYS).join(told, "event_key").select(*KEYS, "error")
+
+
+def _artefacts(spark, d, conditioned=None) -> scoring.Artefacts:
+    """A model fitted on training events, with the training's norms, noise (of ``conditioned`` rows if there are any) and the
+    thresholds of its own scores by pattern, stored and loaded."""
+    s = q_models._set(spark, d)
+    train = s.where("is_train")
+    model = Pipeline(stages=[*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(s.count())]).fit(models.balanced(train))
+    t, path = placed(spark, d) if conditioned is None else conditioned, _path(spark, "artefacts")
+    thresholds = metrics.threshold_nearest_fpr(models.predict({"logistic": model}, train), 0.05, ["pattern"])
+    scoring.Artefacts(model, features.fit_norms(train), detection.noise_thresholds(t, SCALED), thresholds).save(path)
     return scoring.Artefacts.load(spark, path, hours=96)
 
 
-@query("s11_model_round_trip", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, true AS same FROM ev")
+@query("s11_model_round_trip", f"WITH {EV} SELECT vehicle_id, start_time, end_time, pattern, true AS same, true AS within FROM ev")
 def s11(spark, d):
     """Scores of a calibrated model before it was stored and after it was loaded."""
-    s, path = _few(spark, d), _path(spark, "calibrated")
-    model = models.calibrate(s, [*models.preprocessing(FEW, FLAGS, ["pattern"]), models.logistic(s.count())], q_models.FOLDS)
+    s, path = q_models._set(spark, d), _path(spark, "calibrated")
+    model = models.calibrate(s, [*models.preprocessing(NUM, BIN, ["pattern"]), models.logistic(s.count())], q_models.FOLDS)
     models.save(model, path)
     keys = found(spark, d).select("event_key", *KEYS)
     before, after = (m.transform(s).select("event_key", F.col("score").alias(n)) for m, n in ((model, "b"), (models.load(path), "a")))
-    return keys.join(before, "event_key").join(after, "event_key").select(*KEYS, (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+    return keys.join(before, "event_key").join(after, "event_key").select(*KEYS, (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"), F.col("a").between(0, 1).alias("within"))
 
 
-@query("i12_load_artefacts", f"WITH {SEG}, {THR} SELECT vehicle_id, state, round(step_gal, 6) AS step_gal, round(cum_gal, 6) AS cum_gal FROM thr")
+@query("i12_load_artefacts", f"WITH {SEG}, {THR} SELECT vehicle_id, state, round(step_gal, 6) AS step_gal, round(cum_gal, 6) AS cum_gal, true AS thresholds_hold FROM thr")
 def i12(spark, d):
-    return _artefacts(spark, d).noise
+    """The noise table, and whether the pattern thresholds are those that the loaded model's own scores give."""
+    a = _artefacts(spark, d)
+    again = metrics.threshold_nearest_fpr(models.predict({"logistic": a.model}, q_models._set(spark, d).where("is_train")), 0.05, ["pattern"]).withColumnRenamed("threshold", "again")
+    hold = a.thresholds.join(again, "pattern", "full").agg(F.bool_and(F.coalesce(F.abs(F.col("threshold") - F.col("again")) < 1e-9, F.lit(False))).alias("thresholds_hold"))
+    return a.noise.join(F.broadcast(hold))
 
 
-@query("i13_preprocess_at_scoring", "SELECT CAST(user_id AS VARCHAR) AS vehicle_id, count(*) AS n FROM events GROUP BY ALL")
-def i13(spark, d):
-    """Raw rows through the training's own conditioning."""
-    return scoring.prepared(ingest.read_csv(spark, _csv(spark, d)), SCALED).groupBy("vehicle_id").agg(F.count("*").alias("n"))
+def _conditioned(time: str) -> str:
+    """SQL of the conditioning, over one row for each vehicle and time, with its rows by these instead of by an id."""
+    return q_basic.SQL["t10_preprocess"].replace(GAPS, _once(time)).replace("SELECT event_id, round(total_fuel_gal, 6)", "SELECT vehicle_id, timestamp, round(total_fuel_gal, 6)")
+
+
+def _once(time: str) -> str:
+    rows = _sql(False).replace("ts AS timestamp", f"{time} AS timestamp", 1)
+    return f"""every AS ({rows}), gaps AS (SELECT * EXCLUDE _n FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, timestamp ORDER BY total_fuel_gal DESC NULLS LAST, speed_kmh NULLS LAST, latitude NULLS LAST, longitude NULLS LAST) AS _n FROM every) WHERE _n = 1)"""
+
 
+#: Events of telemetry that a CSV of whole seconds holds, conditioned first.
+_FROM_FILES = EV.replace(TEL, f"""{_once("date_trunc('second', ts)")}, {q_basic.RATE}, {q_basic.MAD.format(src='rated')}, {q_basic.FILL.format(src='robust').replace('st AS (', 'st0 AS (', 1).replace('FROM st)', 'FROM st0)', 1)},
+    tel AS (SELECT vehicle_id, timestamp, total_fuel_gal, speed_kmh, ignition, latitude, longitude, stationary_drain, event_id FROM filled)""")
 
-@query("s12_batch_inference")
+
+@query("i13_preprocess_at_scoring", _conditioned("date_trunc('second', ts)"))
+def i13(spark, d):
+    """Raw rows through the training's own conditioning."""
+    return scoring.prepared(ingest.read_csv(spark, _csv(spark, d)), SCALED).select("vehicle_id", "timestamp", "total_fuel_gal", "dfuel", "fuel_med5")
+
+
+@query("j2_combine", _conditioned("ts"))
+def j2(spark, d):
+    """Two sources with the same rows, one of which lacks values and a column: numbers win over missing ones, then all is conditioned."""
+    parts = [telemetry(spark, d), telemetry(spark, d, gaps=True).drop("stationary_drain")]
+    return ingest.combine(parts, F.lit("2100-01-01").cast("timestamp"), SCALED).select("vehicle_id", "timestamp", "total_fuel_gal", "dfuel", "fuel_med5")
+
+
+@query("s10_report_sink", q_basic.SQL["v9_report"])
+def s10(spark, d):
+    """The whole quality report, from the JSON that it was stored as."""
+    path, report = _path(spark, "report"), quality.quality_report(q_basic.twice(spark, d))
+    ingest.save_report(report, path)
+    return spark.read.schema(report.schema).option("timestampFormat", ingest.MICROSECONDS).json(path)
+
+
+@query("i4_fill_features", f"WITH {EV} SELECT vehicle_id, start_time, end_time, CASE WHEN n_negative_steps % 2 = 0 THEN 0.0 ELSE round(drop_gal, 6) END AS drop_gal, CASE WHEN n_negative_steps % 3 = 0 THEN 'unknown' ELSE pattern END AS pattern, 0.0 AS absent, round(duration_min, 6) AS duration_min FROM ev")
+def i4(spark, d):
+    """Nulls among numbers and words, and a column that is not there, are filled; what has a value keeps it."""
+    e = found(spark, d).withColumns({"drop_gal": F.when(F.col("n_negative_steps") % 2 != 0, F.col("drop_gal")), "pattern": F.when(F.col("n_negative_steps") % 3 != 0, F.col("pattern"))})
+    return scoring.fill_features(e, ["drop_gal", "absent", "pattern", "duration_min"]).select(*KEYS[:3], "drop_gal", "pattern", "absent", "duration_min")
+
+
+#: Test and training events by pattern, and the patterns that get a model of their own.
+_SIDED = f"{EV}, {SPLIT}, {TRAIN}, {LAB}, sided AS (SELECT m.*, y FROM mapped m JOIN lab USING (vehicle_id, start_time, end_time, pattern)), own AS (SELECT pattern FROM sided WHERE is_train GROUP BY pattern HAVING count(*) >= 30 AND sum(y) >= 5)"
+_NAMES = ["logistic", "random_forest", "boosted"]
+_EACH = ", ".join(f"('{n}')" for n in _NAMES)
+
+
+def _job(spark, d, out: str) -> jobs.Trained:
+    return jobs.training_job(q_models._set(spark, d), out, NUM, BIN, _NAMES, q_models.FOLDS)
+
+
+@query("m32_training_job", f"""WITH {_SIDED} SELECT v.model, pattern, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, true AS within, true AS threshold_holds FROM sided, (VALUES {_EACH}) v(model) WHERE NOT is_train GROUP BY ALL
+    UNION ALL SELECT 'own', pattern, count(*), CAST(sum(y) AS BIGINT), true, true FROM sided JOIN own USING (pattern) WHERE NOT is_train GROUP BY pattern""")
+def m32(spark, d):
+    """What the job has stored: test rows by model and pattern, scores of 0 to 1, and thresholds that these give again."""
+    out = _path(spark, "trained")
+    _job(spark, d, out)
+    scores, own = spark.read.parquet(f"{out}/scores"), spark.read.parquet(f"{out}/pattern_scores")
+    best = spark.read.parquet(f"{out}/evaluation").orderBy(F.desc("pr_auc"), "model").select("model").limit(1)
+    again = lambda rows: metrics.threshold_nearest_fpr(rows, 0.05, ["pattern"]).withColumnRenamed("threshold", "again")
+    hold = lambda stored, rows: stored.join(again(rows), "pattern").select("pattern", (F.abs(F.col("threshold") - F.col("again")) < 1e-9).alias("threshold_holds"))
+    sums = lambda rows: rows.groupBy("model", "pattern").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positives"), F.min(F.col("score").between(0, 1)).alias("within"))
+    globals_ = sums(scores).join(hold(spark.read.parquet(f"{out}/pattern_thresholds"), scores.join(best, "model", "left_semi")), "pattern")
+    return globals_.unionByName(sums(own.withColumn("model", F.lit("own"))).join(hold(spark.read.parquet(f"{out}/pattern_results").select("pattern", "threshold"), own), "pattern")).select("model", "pattern", "n", "positives", "within", "threshold_holds")
+
+
+@query("m11_pattern_models", f"WITH {_SIDED} SELECT pattern, count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_test, CAST(coalesce(sum(y) FILTER (NOT is_train), 0) AS BIGINT) AS positives, true AS within, true AS adds_up FROM sided JOIN own USING (pattern) GROUP BY pattern")
+def m11(spark, d):
+    """A result row for each pattern with a model of its own: its threshold, and a report there that adds up."""
+    s = q_models._set(spark, d)
+    own = models.pattern_models(s.where("is_train"), NUM, BIN)
+    results, _ = models.pattern_results(own, s.where("not is_train"))
+    sides = s.groupBy("pattern").agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"), F.sum(F.when(~F.col("is_train"), F.col("y")).otherwise(0)).cast("long").alias("positives"))
+    whole = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return sides.join(results, "pattern").select("pattern", "n_train", "n_test", "positives", (F.col("threshold").between(0, 1) & F.col("pr_auc").between(0, 1)).alias("within"), ((whole == F.col("n_test")) & (F.col("tp") + F.col("fn") == F.col("positives"))).alias("adds_up"))
+
+
+@query("m33_evaluation_job", f"""WITH {EV}, {SPLIT}, {TRAIN}, {LAB}, sided AS (SELECT m.*, y FROM mapped m JOIN lab USING (vehicle_id, start_time, end_time, pattern) WHERE NOT is_train), p AS (SELECT pattern, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM sided GROUP BY pattern HAVING count(*) >= 10 AND count(DISTINCT y) = 2)
+    SELECT 'pattern' AS part, pattern AS name, n, positives, true AS holds FROM p UNION ALL SELECT 'best', 'model', count(*), CAST(sum(y) AS BIGINT), true FROM sided
+    UNION ALL SELECT 'calibration', 'ece', count(*), CAST(sum(y) AS BIGINT), true FROM sided UNION ALL SELECT 'top', 'scores', least(100, count(*)), CAST(0 AS BIGINT), true FROM sided""")
+def m33(spark, d):
+    """The job's four tables: each pattern's report, the best model's, its calibration, and its highest scores."""
+    scores = q_models._scores(spark, d, ("logistic", "boosted"))
+    e = jobs.evaluation_job(scores)
+    whole = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    row = lambda df, part, name, n, positives, holds: df.agg(F.lit(part).alias("part"), F.lit(name).alias("name"), n.cast("long").alias("n"), positives.cast("long").alias("positives"), F.bool_and(holds).alias("holds"))
+    own = scores.join(F.broadcast(e.best.select("model")), "model", "left_semi")
+    best_ap = metrics.average_precision(scores, ["model"]).agg(F.max("pr_auc")).first()[0]
+    each = own.agg(F.count("*").alias("_n"), F.sum("y").alias("_p"))
+    bins = metrics.calibration_bins(own, 10).withColumn("gap", F.abs(F.col("mean_p") - F.col("rate")))
+    ece = bins.agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("_e"))
+    per = e.per_pattern.select(F.lit("pattern").alias("part"), F.col("pattern").alias("name"), whole.alias("n"), (F.col("tp") + F.col("fn")).alias("positives"), F.col("pr_auc").between(0, 1).alias("holds"))
+    best = row(e.best, "best", "model", F.max(whole), F.max(F.col("tp") + F.col("fn")), F.abs(F.col("pr_auc") - best_ap) < 1e-9)
+    calibration = row(e.calibration.join(F.broadcast(ece)).join(F.broadcast(each)), "calibration", "ece", F.max("_n"), F.max("_p"), F.abs(F.col("ece") - F.col("_e")) < 1e-9)
+    least = e.top.agg(F.min("score").alias("_least"), F.count("*").alias("_k"))
+    above = own.join(F.broadcast(least)).agg(F.count_if(F.col("score") > F.col("_least")).alias("_above"), F.max("_k").alias("_k"))
+    highest = row(above, "top", "scores", F.max("_k"), F.lit(0), F.col("_above") <= F.col("_k"))
+    return ingest.union([per, best, calibration, highest])
+
+
+@query("s12_batch_inference", f"""WITH RECURSIVE {_FROM_FILES}, {_kept('ev')} SELECT v.s AS source, vehicle_id, start_time, end_time, pattern, round(drop_gal, 6) AS drop_gal, CAST(NULL AS VARCHAR) AS error FROM nms, (VALUES ('one'), ('two')) v(s)
+    UNION ALL SELECT 'bad', NULL, NULL, NULL, NULL, NULL, 'no timestamp column' UNION ALL SELECT 'absent', NULL, NULL, NULL, NULL, NULL, 'not found'""")
 def s12(spark, d):
-    """Two files, each scored by itself; one without a time column and one that is not there have no events."""
-    base = _path(spark, "files")
-    raw = spark.read.csv(_csv(spark, d), header=True)
+    """Two sources, each scored by itself; one without a time column and one that is not there have no events."""
+    base, path = _path(spark, "files"), _csv(spark, d)
+    raw = spark.read.csv(path, header=True)
     for name in ("one", "two"):
         raw.write.csv(f"{base}/{name}", header=True)
     raw.select("ref").write.csv(f"{base}/bad", header=True)
-    events, failed = jobs.score_files(spark, [f"{base}/{n}" for n in ("one", "two", "bad", "absent")], _artefacts(spark, d), SCALED, _path(spark, "scored"))
+    events, failed = jobs.score_files(spark, [f"{base}/{n}" for n in ("one", "two", "bad", "absent")], _artefacts(spark, d, scoring.prepared(ingest.read_csv(spark, path), SCALED)), SCALED, _path(spark, "scored"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("vehicle_id", "string"), ("start_time", "timestamp"), ("end_time", "timestamp"), ("pattern", "string"), ("drop_gal", "double"))]
-    return events.select("source", *KEYS, "drop_gal", F.lit(None).cast("string").alias("error")).union(failed.select("source", *none, F.lit("failed").alias("error")))
+    return events.select("source", *KEYS, "drop_gal", F.lit(None).cast("string").alias("error")).union(failed.select("source", *none, "error"))
 
 
 def _part(sql: str) -> str:
@@ -322,13 +427,13 @@ def f16(spark, d):
 _Z = ["drop_gal", "duration_min", "n_negative_steps", "rate_gpm"]
 
 
-@query("f15_feature_pipeline", f"""WITH {EV}, {_WHOLE}, {SPLIT}, side AS (SELECT mx.*, coalesce({_MIDT.replace('e.', 'mx.')} <= cut, false) AS is_train FROM mx LEFT JOIN cuts USING (vehicle_id)),
-    nm AS (SELECT vehicle_id, {", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_samp({c}) > 0 THEN stddev_samp({c}) ELSE 1e-6 END AS {c}_s" for c in _Z)} FROM side WHERE is_train GROUP BY vehicle_id),
+@query("f15_feature_pipeline", f"""WITH {EV}, {_WHOLE}, {SPLIT}, side AS (SELECT mx.* REPLACE (e.drop_gal AS drop_gal, e.duration_min AS duration_min, e.drop_gal / (e.duration_min + 1e-6) AS rate_gpm), coalesce({_MIDT} <= cut, false) AS is_train FROM mx JOIN ev e USING ({_K}) LEFT JOIN cuts USING (vehicle_id)),
+    nm AS (SELECT vehicle_id, {", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_samp({c}) > 1e-9 THEN stddev_samp({c}) ELSE 1e-6 END AS {c}_s" for c in _Z)} FROM side WHERE is_train GROUP BY vehicle_id),
     fu AS (SELECT vehicle_id, avg(total_fuel_gal) AS a, max(total_fuel_gal) AS b FROM der GROUP BY vehicle_id)
-    SELECT {_K}, {", ".join(f"round(greatest(-100, least(100, coalesce(({c} - {c}_m) / {c}_s, 0))), 2) AS {c}_vehicle_zscore" for c in _Z)}, round(drop_gal / (a + 1e-6), 5) AS drop_vs_avg, round(drop_gal / (b + 1e-6), 5) AS drop_vs_capacity, coord_range_km, pre_event_avg_speed, movement_variability
+    SELECT {_K}, {", ".join(f"round(coalesce(({c} - {c}_m) / {c}_s, 0), 2) AS {c}_vehicle_zscore" for c in _Z)}, round(drop_gal / (a + 1e-6), 5) AS drop_vs_avg, round(drop_gal / (b + 1e-6), 5) AS drop_vs_capacity, coord_range_km, pre_event_avg_speed, movement_variability
     FROM side LEFT JOIN nm USING (vehicle_id) LEFT JOIN fu USING (vehicle_id)""")
 def f15(spark, d):
-    """Scores beyond 100 deviations are shown as 100: where a vehicle's events have no spread, rounding would show."""
+    """Where a vehicle's training events have no spread, a millionth stands for it, so that scores may be large."""
     e, t = mapped(spark, d), placed(spark, d)
     out = features.FeatureBuilder(hours=96).fit(e, t).transform(e, t)
-    return out.select(*KEYS, *[F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col(f"{c}_vehicle_zscore"))), 2).alias(f"{c}_vehicle_zscore") for c in _Z], F.round("drop_vs_avg", 5).alias("drop_vs_avg"), F.round("drop_vs_capacity", 5).alias("drop_vs_capacity"), "coord_range_km", "pre_event_avg_speed", "movement_variability")
+    return out.select(*KEYS, *[F.round(f"{c}_vehicle_zscore", 2).alias(f"{c}_vehicle_zscore") for c in _Z], F.round("drop_vs_avg", 5).alias("drop_vs_avg"), F.round("drop_vs_capacity", 5).alias("drop_vs_capacity"), "coord_range_km", "pre_event_avg_speed", "movement_variability")

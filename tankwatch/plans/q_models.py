@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tankwatch.operators import detection, features, hotspots, intervals, metrics, models, quality, reports, scoring, signal, splits
 from tankwatch.params import Clustering
 from tankwatch.plans.q_basic import DER, hav, r6, raw
 from tankwatch.plans.q_events import CEN, EV, SC, SEG, SPLIT, found, labelled, mapped, placed, scored
-from tankwatch.plans.telemetry import GAPS, SCALED, TEL, telemetry
+from tankwatch.plans.telemetry import GAPS, SCALED, TEL, events, telemetry
 from tankwatch.sources import ingest
 from tankwatch.streaming import streams
 
@@ -176,14 +177,6 @@ def m10(spark, d):
     return _scores(spark, d, ("logistic", "random_forest"))
 
 
-@query("m11_pattern_models")
-def m11(spark, d):
-    s = _set(spark, d)
-    own = models.pattern_models(s.where("is_train"), NUM, BIN, folds=FOLDS, quick=False)
-    parts = [models.predict({k: m}, s.where((F.col("pattern") == k) & ~F.col("is_train"))) for k, m in own.items()]
-    return ingest.union(parts) if parts else s.select("event_key", "y", "pattern", F.col("pattern").alias("model"), F.lit(0.5).alias("score")).where("false")
-
-
 LONG = "lg AS (SELECT event_id, grp, y, model, CASE model WHEN 'a' THEN score WHEN 'b' THEN 1 - score ELSE CAST((event_id * 31) % 100 AS DOUBLE) / 100 END AS score FROM sc CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(model))"
 
 
@@ -197,6 +190,9 @@ for _how, _agg in (("mean", "avg(score)"), ("max", "max(score)"), ("median", "me
 
 query("m13_blend_weighted", f"WITH {SC}, {LONG} SELECT event_id, round(sum(score * w) / sum(w), 6) AS score FROM lg JOIN (VALUES ('a', 0.5), ('b', 0.3), ('c', 0.2)) v(model, w) USING (model) GROUP BY event_id")(lambda spark, d: models.blend(long_scores(spark, d), "weighted", {"a": 0.5, "b": 0.3, "c": 0.2}, "event_id"))
 
+query("m13_blend_rank", f"""WITH {SC}, {LONG}, rk AS (SELECT event_id, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0 AS r FROM lg), m AS (SELECT event_id, avg(r) AS s FROM rk GROUP BY event_id)
+    SELECT event_id, round((s - (SELECT min(s) FROM m)) / ((SELECT max(s) FROM m) - (SELECT min(s) FROM m)), 6) AS score FROM m""")(lambda spark, d: models.blend(long_scores(spark, d), "rank", key="event_id"))
+
 LCV = """g AS (SELECT model, score, sum(y) AS p, count(*) - sum(y) AS n FROM lg GROUP BY ALL), lcv AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY model) AS pos FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
     ap AS (SELECT model, sum(tp / (tp + fp) * p / pos) AS pr_auc FROM lcv GROUP BY model)"""
 
@@ -314,11 +310,6 @@ def i7(spark, d):
     return e.select("vehicle_id", "start_time", "end_time", "pattern", F.array_join(scoring.explanations(e), "; ").alias("reasons"))
 
 
-@query("i4_fill_features", f"WITH {EV} SELECT e.vehicle_id, e.start_time, e.end_time, e.pattern, 0.0 AS absent FROM ev e")
-def i4(spark, d):
-    return scoring.fill_features(found(spark, d), ["drop_gal", "absent", "pattern"]).select("vehicle_id", "start_time", "end_time", "pattern", "absent")
-
-
 #: Rows that arrive long after their time, and up to when the first part of a stream goes.
 LATE, CUT = "event_id % 50 = 0 AND ts < (SELECT max(ts) - INTERVAL 10 DAY FROM events)", "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
 
@@ -373,11 +364,21 @@ def x1(spark, d):
     return streams.stateful_segments(closed, SCALED).select("vehicle_id", "seg_id", "start_time", "end_time", "is_ign_off")
 
 
-@query("s3_tolerant_scan", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
+_SPOILT = "event_id % 101 = 0 OR event_id % 103 = 0 OR event_id % 107 = 0"
+_LINE = "CAST(event_id AS VARCHAR) || ',' || CAST(user_id AS VARCHAR) || ',' || event_type"
+
+
+@query("s3_tolerant_scan", f"""SELECT true AS good, {_LINE} AS line, CAST(1 AS BIGINT) AS n FROM events WHERE NOT ({_SPOILT})
+    UNION ALL SELECT false, CASE WHEN event_id % 101 = 0 THEN 'short,' || CAST(user_id AS VARCHAR) WHEN event_id % 103 = 0 THEN {_LINE} || ',more' ELSE CAST(event_id AS VARCHAR) || ',"' || CAST(user_id AS VARCHAR) || ',' || event_type END AS line, count(*) FROM events WHERE {_SPOILT} GROUP BY line""")
 def s3(spark, d):
-    path = _csv(spark, d)
-    good, _ = ingest.read_tolerant(spark, path, spark.read.csv(path, header=True).schema)
-    return good.select("ref")
+    """Lines with a field too few, one too many, or an open quote go to quarantine; the others are read."""
+    path, e = _path(spark, "spoilt"), events(spark, d)
+    plain = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type")
+    line = F.when(F.col("event_id") % 101 == 0, F.concat(F.lit("short,"), F.col("user_id").cast("string"))).when(F.col("event_id") % 103 == 0, F.concat(plain, F.lit(",more"))).when(F.col("event_id") % 107 == 0, F.concat(F.col("event_id").cast("string"), F.lit(',"'), F.col("user_id").cast("string"), F.lit(","), F.col("event_type"))).otherwise(plain)
+    head = F.lit("ref,vehicle,kind").alias("value")
+    e.select(line.alias("value"), F.spark_partition_id().alias("part")).groupBy("part").agg(F.concat_ws("\n", F.array(head), F.collect_list("value")).alias("value")).select("value").write.text(path)
+    good, bad = ingest.read_tolerant(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("ref", "vehicle", "kind")]))
+    return good.select(F.lit(True).alias("good"), F.concat_ws(",", "ref", "vehicle", "kind").alias("line"), F.lit(1).cast("long").alias("n")).union(bad.groupBy("line").agg(F.sum("n").alias("n")).select(F.lit(False), "line", "n"))
 
 
 @query("s5_glob", "SELECT CAST(event_id AS VARCHAR) AS ref FROM events")
@@ -392,19 +393,6 @@ def s8(spark, d):
     return ingest.load_events(spark, path)
 
 
-@query("s10_report_sink", f"WITH {TEL} SELECT count(*) AS n_rows, count(DISTINCT vehicle_id) AS n_vehicles FROM tel")
-def s10(spark, d):
-    path = _path(spark, "report")
-    ingest.save_report(quality.quality_report(telemetry(spark, d)), path)
-    return spark.read.json(path).select("n_rows", "n_vehicles")
-
-
-@query("j2_combine", "SELECT vehicle_id, count(*) AS n FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS vehicle_id, ts FROM events) GROUP BY vehicle_id")
-def j2(spark, d):
-    t = telemetry(spark, d)
-    return ingest.combine([t, telemetry(spark, d, gaps=True).drop("stationary_drain")], F.lit("2100-01-01").cast("timestamp"), SCALED).groupBy("vehicle_id").agg(F.count("*").alias("n"))
-
-
 @query("j13_split_mapping", f"WITH {EV}, {SPLIT} SELECT e.vehicle_id, e.start_time, e.end_time, e.pattern, make_timestamp((epoch_us(e.start_time) + epoch_us(e.end_time)) // 2) <= cut AS is_train FROM ev e JOIN cuts USING (vehicle_id)")
 def j13(spark, d):
     return mapped(spark, d).select("vehicle_id", "start_time", "end_time", "pattern", "is_train")
@@ -429,20 +417,6 @@ def m7(spark, d):
     return models.predict({"logistic": model}, s.where("not is_train"))
 
 
-@query("m32_training_job")
-def m32(spark, d):
-    """Split, detect, label, features, train, evaluate on the test side."""
-    return models.evaluate(_scores(spark, d, ("logistic", "random_forest", "boosted")))
-
-
-@query("m33_evaluation_job")
-def m33(spark, d):
-    """The best model by average precision, with its calibration error."""
-    s = _scores(spark, d, ("logistic", "boosted"))
-    best = reports.top(metrics.average_precision(s, ["model"]), "pr_auc", 1, ["model"])
-    return metrics.calibration_error(s, 10, ["model"]).join(best, "model")
-
-
 @query("i1_score_telemetry")
 def i1(spark, d):
     m, s = _trained(spark, d, ("boosted",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,22 +34,54 @@ def read_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8
     return spark.read.option("recursiveFileLookup", recursive).csv(paths, header=True, encoding=encoding)
 
 
+def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header, utf8``, a row for each file of the paths that is not empty: its first line and whether it is all UTF-8.
+
+    One job over the lines of all files, in splits: a line end is never part of a longer character, so that a file is valid if all
+    its lines are. No file is ever one value.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value"), F.monotonically_increasing_id().alias("_row"))
+    return lines.groupBy("file").agg(F.min_by("value", F.when(F.col("_at") == 0, F.col("_row"))).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+
+
+def place(path: str) -> str:
+    """A path without its scheme where that is the local one, and without a slash at its end."""
+    return re.sub("^file:/+", "/", path.rstrip("/"))
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there; a file or a folder."""
+    conf = spark._jsc.hadoopConfiguration()
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    return [p for p in paths if at(p).getFileSystem(conf).globStatus(at(p))]
+
+
+def alike(spark: SparkSession, paths: list[str], by_header: bool = True) -> list[DataFrame]:
+    """The files as text columns, one table for each kind of header and encoding, however many files there are."""
+    keys = ["utf8", *(["header"] if by_header else [])]
+    groups = manifest(spark, paths).groupBy(*keys).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # a row for each kind
+    return [read_csv(spark, r.files, "UTF-8" if r.utf8 else "ISO-8859-1") for r in sorted(groups, key=lambda r: r.files[0])]
+
+
 def read_any_encoding(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """UTF-8 files as such and the others as Latin-1; each file's bytes are tested where they lie."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("ok"))
-    found = files.collect()  # one row for each file
-    groups = [(e, [r.path for r in found if bool(r.ok) == good]) for e, good in (("UTF-8", True), ("ISO-8859-1", False))]
-    parts = [read_csv(spark, p, e) for e, p in groups if p]
+    parts = alike(spark, [paths] if isinstance(paths, str) else paths, by_header=False)
     if not parts:
         raise ValueError("no files")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return union(parts)
 
 
 def read_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rows that do not fit the header (as their text)."""
+    """Good rows, and ``file, line, n``: lines that do not fit the header, by file, with how often they come.
+
+    Lines with too few or too many fields do not fit, which is also what an open quote leads to.
+    """
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     rows = spark.read.csv(paths, header=True, schema=full, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
+    # Spark parses a line only if one of its fields is asked for
+    parsed = F.length(F.coalesce(*[F.col(f"`{f.name}`").cast("string") for f in schema.fields], F.lit(""))) >= 0
+    bad = rows.select("*", F.col("_metadata.file_path").alias("file")).where(F.col("_bad").isNotNull() & parsed).groupBy("file", F.col("_bad").alias("line")).agg(F.count("*").alias("n"))
+    return rows.where("_bad is null").drop("_bad"), bad
 
 
 def standardise(df: DataFrame, vehicle_id: str | None = None, headers: dict[str, list[str]] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -86,16 +120,21 @@ def load(spark: SparkSession, path: str, vehicle_id: str | None = None) -> DataF
 
 
 def load_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files with the same header are read at once; a path that cannot be read is skipped, none left is an error."""
-    by_header: dict[tuple, list[str]] = {}
-    for path in paths:
+    """Files with the same header are read at once; a path that is not there, or whose header has no time, is skipped.
+
+    If none is left it is an error.
+    """
+    found, parts = existing(spark, paths), []
+    for path in sorted(set(paths) - set(found)):
+        print(f"skipped {path}: not found")
+    for raw in alike(spark, found) if found else []:
         try:
-            by_header.setdefault(tuple(read_csv(spark, path).columns), []).append(path)
-        except Exception as e:  # whatever the file system or the reader objects to
-            print(f"skipped {path}: {type(e).__name__}")
-    if not by_header:
+            parts.append(standardise(raw))
+        except ValueError as e:
+            print(f"skipped {', '.join(raw.columns)[:200]}: {e}")
+    if not parts:
         raise ValueError("no source could be loaded")
-    return union([standardise(read_csv(spark, group)) for group in by_header.values()])
+    return union(parts)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -133,6 +172,10 @@ def load_events(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: parse.utc(F.col(c)) for c in ("start_time", "end_time")} | {c: parse.number(F.col(c)) for c in ("duration_min", "drop_gal", "min_step_gal") if c in df.columns})
 
 
+#: Times in a report keep their microseconds.
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def save_report(df: DataFrame, path: str) -> None:
     """A small nested report as JSON."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.coalesce(1).write.mode("overwrite").option("timestampFormat", MICROSECONDS).json(path)
