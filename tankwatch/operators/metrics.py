@@ -111,15 +111,26 @@ def min_max(df: DataFrame, col: str = "score") -> DataFrame:
     return df.join(F.broadcast(ends)).withColumn(col, F.coalesce(F.try_divide(F.col(col) - F.col("_a"), F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))), F.lit(0.0))).drop("_a", "_b")
 
 
-def bootstrap(df: DataFrame, predicted: Column, replicates: int = 1000, seed: int = 0, key: str = "event_key") -> DataFrame:
-    """``metric, mean, low, high``: precision, recall and false positive rate with their 95 % intervals under resampling.
+def rates(predicted: Column) -> dict[str, tuple[Column, Column]]:
+    """Precision, recall and false positive rate of a yes or no prediction, as what is summed above and below the line."""
+    y = F.col("y") == 1
+    return {"precision": (predicted & y, predicted), "recall": (predicted & y, y), "fpr": (predicted & ~y, ~y)}
 
-    Each replicate weighs each row by a Poisson(1) draw, which follows from the row's key, the replicate and the seed. A task
-    draws the weights of a few rows for all replicates at once and adds them up by outcome: rows are read once and never copied, and
-    each task sends four sums for each replicate. A replicate without positives (or negatives, or alerts) leaves out the metric.
+
+def bootstrap(df: DataFrame, metric: Column | dict[str, tuple[Column, Column]], replicates: int = 100, seed: int = 0, key: str = "event_key") -> DataFrame:
+    """Poisson bootstrap: each replicate weighs each row by a Poisson(1) draw, which follows from its key, the replicate and the seed.
+
+    Ratios of sums, given by name with what is summed above and below, have a row each: ``metric, mean, low, high`` with 95 %
+    intervals. A task draws the weights of a few rows for all replicates at once and adds them up: rows are read once and never copied, and
+    a task sends one row for each replicate. A replicate whose lower sum is 0 leaves out the ratio. Any other weighted aggregate
+    over ``w`` gives ``mean, low, high``; its rows are copied for each replicate.
     """
-    outcome = F.when(predicted & (F.col("y") == 1), 0).when(predicted, 1).when(F.col("y") == 1, 2).otherwise(3)
-    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("hash"), outcome.cast("int").alias("outcome"))
+    if isinstance(metric, Column):
+        per = _copied(df, metric, replicates, seed, key)
+        q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+        return per.agg(F.avg("value").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+    parts = [F.coalesce(c.cast("double"), F.lit(0.0)) for pair in metric.values() for c in pair]
+    rows, n = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("hash"), F.array(*parts).alias("parts")), len(parts)
     steps, term, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += term
@@ -127,20 +138,28 @@ def bootstrap(df: DataFrame, predicted: Column, replicates: int = 1000, seed: in
         term /= k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, salts = np.zeros((replicates, 4)), np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums, salts = np.zeros((replicates, n)), np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            hashes, kinds = batch.column("hash").to_numpy().view(np.uint64), batch.column("outcome").to_numpy()
+            hashes, values = batch.column("hash").to_numpy().view(np.uint64), batch.column("parts").flatten().to_numpy().reshape(-1, n)
             for at in range(0, len(hashes), 1024):
                 h = hashes[at : at + 1024, None] + salts
                 h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                weights = np.searchsorted(steps, (h >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
-                for k in range(4):
-                    sums[:, k] += weights[kinds[at : at + 1024] == k].sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"replicate": pa.array(np.arange(replicates)), **{n: pa.array(sums[:, k]) for k, n in enumerate(("tp", "fp", "fn", "tn"))}})
-
-    per = rows.mapInArrow(run, "replicate long, tp double, fp double, fn double, tn double").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    rates = {"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "fpr": F.try_divide("fp", F.col("fp") + F.col("tn"))}
-    long = per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in rates.items()])).alias("r")).select("r.*")
+                sums += np.searchsorted(steps, (h >> np.uint64(11)) / float(1 << 53), side="right").T @ values[at : at + 1024]
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(np.arange(replicates)), **{f"s{k}": pa.array(sums[:, k]) for k in range(n)}})
+
+    per = rows.mapInArrow(run, "replicate long, " + ", ".join(f"s{k} double" for k in range(len(parts)))).groupBy("replicate").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(parts))])
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.try_divide(f"s{2 * k}", f"s{2 * k + 1}").alias("value")) for k, n in enumerate(metric)])).alias("r")).select("r.*")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+
+
+def _copied(df: DataFrame, metric: Column, replicates: int, seed: int, key: str) -> DataFrame:
+    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    tail, cum, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(8):
+        cum += term
+        term /= k + 1
+        tail = tail + (u >= cum).cast("int")
+    spread = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", tail)
+    return spread.groupBy("replicate").agg(metric.alias("value"))

@@ -594,7 +594,7 @@ def m14(spark, d):
 @query("m29_bootstrap")
 def m29(spark, d):
     """Precision, recall and false positive rate at 0.5, with intervals."""
-    return metrics.bootstrap(scored(spark, d), F.col("score") >= 0.5, key="event_id")
+    return metrics.bootstrap(scored(spark, d), metrics.rates(F.col("score") >= 0.5), 1000, key="event_id")
 
 
 @query("m31_evaluate_at_threshold", f"WITH {SC}, {_cv('grp')} SELECT grp, round(a.pr_auc, 6) AS pr_auc, t.threshold FROM (SELECT grp, sum(precision * p / pos) AS pr_auc FROM cr GROUP BY grp) a JOIN (SELECT grp, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tpr DESC, score DESC) AS k FROM co WHERE fp <= CASE WHEN neg < 20 THEN 1 ELSE floor(neg * 0.05) END) WHERE k = 1) t USING (grp)")

@@ -110,7 +110,7 @@ def test_bootstrap_is_within_monte_carlo_error_of_a_loop(spark):
     y = (rng.random(3000) < 0.3).astype(int)
     score = np.clip(y * 0.3 + rng.random(3000) * 0.7, 0, 1)
     df = spark.createDataFrame(pd.DataFrame({"event_key": np.arange(3000), "y": y, "score": score})).repartition(3)
-    got = {r.metric: r for r in metrics.bootstrap(df, F.col("score") >= 0.5, 1000).collect()}
+    got = {r.metric: r for r in metrics.bootstrap(df, metrics.rates(F.col("score") >= 0.5), 1000).collect()}
     hit, want = score >= 0.5, {"precision": [], "recall": [], "fpr": []}
     for _ in range(1000):
         k = rng.integers(0, 3000, 3000)
@@ -122,7 +122,7 @@ def test_bootstrap_is_within_monte_carlo_error_of_a_loop(spark):
         assert abs(got[n]["mean"] - np.mean(values)) < 0.2 * spread
         for side, q in (("low", 2.5), ("high", 97.5)):
             assert abs(got[n][side] - np.percentile(values, q)) < 0.4 * spread
-    again = {r.metric: r for r in metrics.bootstrap(df.repartition(2), F.col("score") >= 0.5, 1000).collect()}
+    again = {r.metric: r for r in metrics.bootstrap(df.repartition(2), metrics.rates(F.col("score") >= 0.5), 1000).collect()}
     assert all(again[n][c] == pytest.approx(got[n][c]) for n in got for c in ("mean", "low", "high"))
 
 
