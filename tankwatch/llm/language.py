@@ -27,7 +27,7 @@ def canonical(text: Column) -> Column:
 
 def fit_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from at most about ``sample_docs`` texts for each, chosen by hash; of each, about
-    ``dict_bytes / sample_docs`` letters from its middle.
+    ``dict_bytes / sample_docs`` bytes of letters from its middle.
 
     Counts by language are of different texts and come from all rows; they fix a language's sampling rate, so that
     copies neither crowd the dictionary nor reach the driver. Rows without language or without a letter are not used.
@@ -49,7 +49,9 @@ def fit_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
         parts = sorted({r.part for r in got if r.lang == lang})
-        out[lang] = " ".join(parts).encode("utf-8", "surrogatepass")[-dict_bytes:]
+        # every text gives its part, also where a letter takes several bytes
+        each = dict_bytes // max(len(parts), 1) - 1
+        out[lang] = b" ".join(p.encode("utf-8", "replace")[:each].decode("utf-8", "ignore").encode() for p in parts)
     return {k: v for k, v in out.items() if v}
 
 
