@@ -154,7 +154,7 @@ def substring_dedup(docs: DataFrame, batches: int = 6, buckets: int | None = Non
     Returns ``doc_id, n_words, n_removed, kept_sha256, kept``: ``kept`` is the remaining words joined by one space, or
     null where nothing was removed. Windows are judged on the input, not on what is left; words are runs without ASCII
     white space, unchanged. Null, empty and short texts lose nothing. Rows with a null id lose nothing and cause no
-    removal; rows that share an id are copies of one document. Other columns are not read. Windows are told apart by a
+    removal; rows that share an id are copies of one document, which is indexed by the text with the least hash of its words. Other columns are not read. Windows are told apart by a
     64-bit hash of their words, next to the fingerprint's.
     """
     spark = docs.sparkSession
@@ -173,7 +173,8 @@ def substring_dedup(docs: DataFrame, batches: int = 6, buckets: int | None = Non
         part = base.where(f"n_words >= {WINDOW}")
         part = part if low is None else part.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        new = part.select("doc_id", "text").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        # of different texts with one id, the one with the least hash is the document
+        new = part.join(leading, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "whole").alias("text"))
         shared.append(index.add(new.mapInArrow(_fingerprints, "hash long, doc_id long")))
     common = spark.table(shared[0])
     for name in shared[1:]:
