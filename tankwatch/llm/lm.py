@@ -27,7 +27,8 @@ BASE, HASHES, CUTOFF = 1.5, 6, 1
 BROADCAST_BYTES = 96 << 20
 AT_ONCE, POSTINGS, BLOCK = 1 << 20, 2_000_000, 1 << 18
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-LEVELS = np.array([0, *(BASE ** (q + 0.5 - 1) for q in range(1, 64))])  # what a level counts for
+#: What a level counts for; the last one lies above all 64-bit counts.
+LEVELS = np.array([0, *(BASE ** (q + 0.5 - 1) for q in range(1, 110))])
 LEVELS[1] = 1.0
 
 
@@ -143,7 +144,7 @@ def pair_blocks(train: DataFrame, words: DataFrame, blocks: int, cutoff: int = C
 
     def packed(block: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((keys, block))
-        block, keys, n = block[order], keys[order], np.minimum(n[order], 0xFFFFFFFF).astype("<u4")
+        block, keys, n = block[order], keys[order], n[order].astype("<i8")
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
         small = (keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).copy()
         rows = []
@@ -184,7 +185,7 @@ def pair_blocks(train: DataFrame, words: DataFrame, blocks: int, cutoff: int = C
         keys[:, :5] = small
         n = wide("n", np.uint8).astype(np.int64)
         shift = np.repeat(np.cumsum([0, *map(len, group.column("n").to_pylist())])[:-1], [len(a) // 4 for a in group.column("at").to_pylist()])
-        n[wide("at", "<u4").astype(np.int64) + shift] = wide("large", "<u4")
+        n[wide("at", "<u4").astype(np.int64) + shift] = wide("large", "<i8")
         keys, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
         n = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
         is_word = keys >= np.uint64(1 << 39)
