@@ -642,3 +642,32 @@ def test_op13_near_duplicates(spark, docs, odd, none):
     assert got == {d: (len(sets[d]), ids[want[k]]) for k, d in enumerate(ids)} and any(r != k for k, r in enumerate(want))
     assert spots.near_duplicates(none).count() == 0
     assert {r.doc_id for r in spots.near_duplicates(odd).collect()} == {i for i, _ in ODD if i is not None}
+
+
+def test_op4_counts_beyond_32_bits(spark):
+    """A count of any size keeps its level."""
+    counts = [1, 254, 255, 256, 1 << 31, 1 << 32, (1 << 32) + 1, 1 << 40, 1 << 62]
+    hashes = np.random.default_rng(8).integers(-(1 << 62), 1 << 62, len(counts))
+    words = spark.createDataFrame([(int(h), n) for h, n in zip(hashes, counts)], "hash long, n long")
+    stored = lm.pair_blocks(spark.createDataFrame([], "text string"), words, 2)
+    (part,) = lm._parts(stored, 2, 1 << 30)
+    got = part.levels(lm.mixed(hashes.view(np.uint64)), True)
+    want = lm.level(np.array(counts))
+    assert got.tolist() == want.tolist() and len(set(want.tolist())) >= 6
+    assert all(lm.LEVELS[q] / lm.BASE <= n <= lm.LEVELS[q] * lm.BASE for q, n in zip(want.tolist(), counts))
+
+
+def test_op3_dictionaries_hold_a_part_of_every_text(spark):
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    rows = [(k, "el", " ".join(letters[k % 24] * 3 + letters[(k + j) % 24] for j in range(400))) for k in range(240)] + [(500, "en", "a plain text of words " * 40), (501, None, "x"), (502, "en", None), (503, "en", "12 34")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, lang string, text string, margin int")
+    learned = language.fit_dictionaries(df, sample_docs=240, dict_bytes=24 << 10)
+    assert set(learned) == {"el", "en"} and len(learned["el"]) <= 24 << 10
+    held = learned["el"].decode()
+    assert all(c * 3 in held for c in letters)  # those of the first letters as well as those of the last
+    # repeated rows are judged alike
+    out = language.identify(df.union(df), learned).collect()
+    found = {r.doc_id: r.lang_pred for r in out}
+    assert len(out) == 2 * len(found) == 2 * df.count() and len({(r.doc_id, r.lang_pred, r.score) for r in out}) == len(found)
+    assert (found[500], found[502], found[503]) == ("en", "und", "und") and sum(found[k] == "el" for k in range(240)) > 200
+    assert language.identify(df.where("false"), learned).count() == 0
