@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tankwatch.functions.stats import mad_sigma
 from tankwatch.operators.quality import first_of
-from tankwatch.operators.segments import segments, with_segment
+from tankwatch.operators.segments import with_segment
 from tankwatch.params import Detection, Pattern
 
 EVENT_KEY = ["vehicle_id", "start_time", "end_time", "drop_gal"]
@@ -76,6 +76,11 @@ def plausible(df: DataFrame, p: Detection = Detection()) -> DataFrame:
     return df.where((F.col("drop_gal") / F.greatest(F.col("duration_min"), F.lit(0.001)) <= p.max_rate) & (F.col("min_step_gal") <= p.max_step))
 
 
+def tasks(df: DataFrame) -> int:
+    """As many tasks as the session shuffles into: rows that are few but costly are then not merged into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 #: Starts of windows that one task tries; a longer stop is dealt out by blocks of starts.
 BLOCK = 2048
 _FOUND = "vehicle_id string, start_time timestamp, end_time timestamp, duration_min double, drop_gal double, min_step_gal double, pattern string, n_negative_steps int, seg_id long, pattern_no int, start_idx int, end_idx int"
@@ -175,42 +180,50 @@ def scan(df: DataFrame, thresholds: DataFrame, p: Detection = Detection(), width
     first start on. Segments are first cut to those whose total drop or largest step can pass at all, which loses nothing.
     """
     rows = df.where(F.col("seg_id").isNotNull()).select("vehicle_id", F.col("seg_id").cast("long").alias("seg_id"), "timestamp", "dfuel", "dt_s", "ign_off")
-    seg = segments(df, p).withColumn("state", F.when(F.col("is_ign_off"), "ign_off").otherwise("stationary_on")).select("vehicle_id", "seg_id", "state")
-    seg = with_thresholds(seg, thresholds, p)
     drop = F.when(F.col("dfuel") < p.noise_drop, F.col("dfuel"))
-    placed = rows.withColumns({"idx": F.row_number().over(W.partitionBy("vehicle_id", "seg_id").orderBy("timestamp")), "drop": drop})
-    able = placed.groupBy("vehicle_id", "seg_id").agg(F.sum(-F.col("drop")).alias("total"), F.max(-F.col("drop")).alias("largest"), F.count("*").alias("rows"))
-    seg = seg.join(able, ["vehicle_id", "seg_id"]).where((F.col("rows") >= 2) & ((F.col("total") + 1e-9 >= F.col("cum_gal")) | (F.col("largest") >= F.col("step_gal")))).drop("total", "largest", "rows")
+    stop = W.partitionBy("vehicle_id", "seg_id")
+    placed = rows.withColumns({"idx": F.row_number().over(stop.orderBy("timestamp")), "drop": drop})
+    # what a segment is as a whole comes from windows over the same order by vehicle: no second pass, no join of rows
+    minutes = (F.unix_micros(F.max("timestamp").over(stop)) - F.unix_micros(F.min("timestamp").over(stop))) / 6e7
+    state = F.when(F.avg(F.col("ign_off").cast("double")).over(stop) > 0.5, "ign_off").otherwise("stationary_on")
+    known = placed.withColumns({"state": state, "_minutes": minutes, "_rows": F.count("*").over(stop), "_total": F.sum(-F.col("drop")).over(stop), "_largest": F.max(-F.col("drop")).over(stop)})
+    able = (F.col("_total") + 1e-9 >= F.col("cum_gal")) | (F.col("_largest") >= F.col("step_gal"))
+    lasting = known.where((F.col("_minutes") >= p.min_segment_min) & (F.col("_rows") >= 2) & (F.col("_largest") > 0))
+    searched = with_thresholds(lasting, thresholds, p).where(able)
     # a row goes to its own block of starts and to those before
     last = F.floor((F.col("idx") - 1) / width).cast("int")
-    dealt = placed.join(seg, ["vehicle_id", "seg_id"]).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    dealt = searched.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
     names = pa.array([x.name for x in p.patterns])
 
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        """What some starts found, of one stop or of several, as one batch."""
+        found = [h[2] for h in held]
+        sizes = [len(h["pattern"]) for h in found]
+        c = {k: np.concatenate([h[k] for h in found]) for k in found[0]}
+        of_stop = pa.array(np.repeat(np.arange(len(held)), sizes))
+        time = lambda k: pa.array(c[k], pa.timestamp("us", "UTC"))
+        whole = lambda k: pa.array(c[k].astype(np.int32))
+        vehicle, segment = pa.array([h[0] for h in held], pa.string()).take(of_stop), pa.array([h[1] for h in held], pa.int64()).take(of_stop)
+        return pa.RecordBatch.from_arrays(
+            [vehicle, time("start_time"), time("end_time"), pa.array(c["duration_min"]), pa.array(c["drop_gal"]), pa.array(c["min_step_gal"]), names.take(pa.array(c["pattern"])), whole("n_negative_steps"), segment, whole("pattern"), whole("start_idx"), whole("end_idx")],
+            names=[x.split()[0] for x in _FOUND.split(", ")],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for stop in _stops(batches, ["vehicle_id", "seg_id", "block"]):
             vehicle, segment = stop.column("vehicle_id")[0].as_py(), stop.column("seg_id")[0].as_py()
-            held, size = [], 0
-
-            def out() -> pa.RecordBatch:
-                c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                time = lambda k: pa.array(c[k], pa.timestamp("us", "UTC"))
-                n = len(c["pattern"])
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([vehicle] * n), time("start_time"), time("end_time"), pa.array(c["duration_min"]), pa.array(c["drop_gal"]), pa.array(c["min_step_gal"]), names.take(pa.array(c["pattern"])), pa.array(c["n_negative_steps"].astype(np.int32)), pa.array([segment] * n, pa.int64()), pa.array(c["pattern"].astype(np.int32)), pa.array(c["start_idx"].astype(np.int32)), pa.array(c["end_idx"].astype(np.int32))],
-                    names=[x.split()[0] for x in _FOUND.split(", ")],
-                )
-
             for one in _windows(stop, p, width):
-                held.append(one)
+                held.append((vehicle, segment, one))
                 size += len(one["pattern"])
                 if size > 1 << 16:
-                    yield out()
+                    yield out(held)
                     held, size = [], 0
-            if held:
-                yield out()
+        if held:
+            yield out(held)
 
     order = ["vehicle_id", "seg_id", "block", "idx"]
-    return dealt.repartition("vehicle_id", "seg_id", "block").sortWithinPartitions(*order).select(*order, "timestamp", "drop", "dt_s", "state", "step_gal", "cum_gal").mapInArrow(run, _FOUND)
+    return dealt.repartition(tasks(df), "vehicle_id", "seg_id", "block").sortWithinPartitions(*order).select(*order, "timestamp", "drop", "dt_s", "state", "step_gal", "cum_gal").mapInArrow(run, _FOUND)
 
 
 ORDER = ["vehicle_id", "seg_id", "pattern_no", "start_idx", "end_idx"]
@@ -279,7 +292,7 @@ def suppress(events: DataFrame, p: Detection = Detection()) -> DataFrame:
             yield batch.take(pa.array(stay, pa.int64())).select(schema.names)
 
     order = [F.col("vehicle_id"), F.col("seg_id"), F.desc("drop_gal"), F.col("pattern_no"), F.col("start_idx"), F.col("end_idx")]
-    return events.select("*", time("start_time"), time("end_time")).repartition("vehicle_id", "seg_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return events.select("*", time("start_time"), time("end_time")).repartition(tasks(events), "vehicle_id", "seg_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _stored(df: DataFrame) -> DataFrame:
