@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tankwatch.llm.common import bits_of, discard, key_filter, may_hold, may_link, resolved, shared_buckets, written
+from tankwatch.llm.common import discard, key_filter, may_hold, resolved, shared_buckets, written
 from tankwatch.llm.wordhash import distinct, lots, mixed, rolling, word_hashes
 
 #: Cells of the frequency sketch: a fixed size, whatever the input.
 CELLS, CHUNK = 1 << 18, 1 << 12
-AT_ONCE, BITS = 1 << 20, ["b0", "b1", "b2", "b3"]
+AT_ONCE = 1 << 20
+#: Columns of 64 parities each; they tell unlike sets apart up to some thousand shingles.
+PARITIES = [f"p{k}" for k in range(8)]
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -39,6 +41,24 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
+def parities_of(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` sets whether the number of its hashes is odd, by their top bits, as longs. ``owner`` is the set."""
+    cells = 64 * len(PARITIES)
+    at = owner * cells + (hashes >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * cells).reshape(n, cells) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sets with these ``size`` and parities can have a Jaccard similarity of ``percent`` or more.
+
+    A cell whose parities differ holds at least one element that only one set has, so that no link is lost.
+    """
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    fits = F.least(f"{x}.size", f"{y}.size") * 100 >= F.greatest(f"{x}.size", f"{y}.size") * percent
+    return fits & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size")))
+
+
 def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -113,22 +133,22 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     order = spark.sparkContext.broadcast(Order(cells, percent))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct set of a lot: its prefix, the plain prefix with each shingle's place, and its bits."""
+        """A row for each distinct set of a lot: its prefix, the plain prefix with each shingle's place, and its parities."""
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in lots([len(t) for t in texts], AT_ONCE):
                 sets = {node_of(s): s for s in shingle_sets(texts[begin:end], words) if len(s)}
                 parts = [order.value.prefix(s) for s in sets.values()]
                 sizes = np.fromiter(map(len, sets.values()), dtype=np.int64, count=len(sets))
-                bits = bits_of(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.uint64), *sets.values()]), len(sets))
+                parities = parities_of(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.uint64), *sets.values()]), len(sets))
                 cols = [pa.array(list(sets), pa.int64()), pa.array([p[0].tobytes() for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.int32()), pa.array(sizes, pa.int32()), pa.array([p[0][: p[2]].tobytes() for p in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(bits[:, k]) for k in range(4))], names=["node", "prefix", "asked", "size", "keys", *BITS])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(parities[:, k]) for k in range(len(PARITIES)))], names=["node", "prefix", "asked", "size", "keys", *PARITIES])
 
-    kinds = "node long, prefix binary, asked int, size int, keys binary, " + ", ".join(f"{b} long" for b in BITS)
+    kinds = "node long, prefix binary, asked int, size int, keys binary, " + ", ".join(f"{b} long" for b in PARITIES)
     prefixes = written(rows.where("doc_id is not null").mapInArrow(prefixed, kinds), "prefixes")
     shared = written(shared_buckets(prefixes.select("node", "keys")), "shared")
     own = prefixes.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    several = written(own.select("node", "prefix", "asked", "size", *BITS), "several")
+    several = written(own.select("node", "prefix", "asked", "size", *PARITIES), "several")
     first = written(heads.join(several.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "first")
     discard(prefixes)
 
@@ -177,7 +197,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         discard(enough, sets)
         return out
 
-    members = shared.join(several.select("node", "size", *BITS), "node")
+    members = shared.join(several.select("node", "size", *PARITIES), "node")
     groups = resolved(members, verify, lambda x, y: may_link(x, y, percent))
     discard(shared, several, first)
     by_node = heads.groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null")
