@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tankwatch.functions import stats
-from tankwatch.operators import detection, metrics, models, segments, signal, splits
+from tankwatch.operators import detection, features, intervals, metrics, models, segments, signal, splits
 from tankwatch.params import Detection
 from tankwatch.plans import q_events
 from tankwatch.plans.telemetry import SCALED, telemetry
@@ -155,3 +155,13 @@ def test_telemetry_in_any_batches_gives_the_batch_result(spark, sf, tmp_path):
     assert got == want and want
     sums = spark.read.parquet(f"{out}/batches").agg(F.sum("n_events"), F.sum("n_thefts")).first()
     assert sums[0] == len(want) and sums[1] == sum(r[4] > 40 for r in want)
+
+
+def test_window_features_are_never_broadcast(spark):
+    """Windows count as small by their file, however far they are spread; nothing that grows with events passes the driver."""
+    t = spark.range(400).select((F.col("id") % 4).cast("string").alias("vehicle_id"), F.timestamp_seconds(F.col("id") * 600).alias("timestamp"), (100.0 - F.col("id") % 7).alias("total_fuel_gal"), F.lit(0.0).alias("speed_kmh"), F.lit(True).alias("ignition"), (4.0 + F.col("id") % 3 * 0.001).alias("latitude"), F.lit(-74.0).alias("longitude"), F.lit(600.0).alias("dt_s"), F.lit(-0.5).alias("dfuel"), (F.col("id") % 9 == 0).cast("int").alias("stationary_drain"))
+    e = spark.range(20).select((F.col("id") % 4).cast("string").alias("vehicle_id"), F.timestamp_seconds(F.col("id") * 9000).alias("start_time"), F.timestamp_seconds(F.col("id") * 9000 + 7200).alias("end_time"), F.lit("p").alias("pattern"), F.lit(3.0).alias("drop_gal"), F.lit(1.0).alias("min_step_gal"), F.lit(2).alias("n_negative_steps"))
+    rows = features.labels(features.FeatureBuilder(hours=96).base(splits.map_events(intervals.keyed(e), splits.rank_split(t)), t), t)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") > 0
+    assert features.matrix(rows, ["vehicle_id"]).count() == 20
