@@ -59,6 +59,17 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return fits & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size")))
 
 
+def halves(hashes: np.ndarray) -> np.ndarray:
+    """The upper half of each hash, which is all that the multi-match test moves about."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound on how many hashes two sets share, from their halves: never less, and more only where halves meet by chance."""
+    a, b = np.unique(x), np.unique(y)
+    return len(np.intersect1d(a, b, assume_unique=True)) + min(len(x) - len(a), len(y) - len(b))
+
+
 def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -133,7 +144,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     order = spark.sparkContext.broadcast(Order(cells, percent))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct set of a lot: its prefix, the plain prefix with each shingle's place, and its parities."""
+        """A row for each distinct set of a lot: its prefix by halves, the plain prefix in full, and its parities."""
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin, end in lots([len(t) for t in texts], AT_ONCE):
@@ -141,7 +152,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
                 parts = [order.value.prefix(s) for s in sets.values()]
                 sizes = np.fromiter(map(len, sets.values()), dtype=np.int64, count=len(sets))
                 parities = parities_of(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.uint64), *sets.values()]), len(sets))
-                cols = [pa.array(list(sets), pa.int64()), pa.array([p[0].tobytes() for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.int32()), pa.array(sizes, pa.int32()), pa.array([p[0][: p[2]].tobytes() for p in parts], pa.binary())]
+                cols = [pa.array(list(sets), pa.int64()), pa.array([halves(p[0]).tobytes() for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.int32()), pa.array(sizes, pa.int32()), pa.array([p[0][: p[2]].tobytes() for p in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(parities[:, k]) for k in range(len(PARITIES)))], names=["node", "prefix", "asked", "size", "keys", *PARITIES])
 
     kinds = "node long, prefix binary, asked int, size int, keys binary, " + ", ".join(f"{b} long" for b in PARITIES)
@@ -170,13 +181,22 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         discard(wanted)
         return out
 
+    def prefixes_of(nodes: DataFrame) -> DataFrame:
+        """The prefixes of some nodes, and few others: what has no part in a pair is not shuffled."""
+        held = spark.sparkContext.broadcast(key_filter(nodes, "node"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(held.value, batch.column("h").to_numpy()))).select(["node", "prefix", "asked"])
+
+        return several.select("node", "prefix", "asked", F.xxhash64("node").alias("h")).mapInArrow(run, "node long, prefix binary, asked int")
+
     def share_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The multi-match test: as many shingles in both prefixes as the pair's shorter demand asks for."""
         for batch in batches:
             keep = []
             for x, y, asked in zip(batch.column("pa"), batch.column("pb"), np.minimum(batch.column("la").to_numpy(), batch.column("lb").to_numpy()).tolist(), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= asked)
+                keep.append(most_shared(*(np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))) >= asked)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +209,14 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (several.select(F.col("node").alias(n), F.col("prefix").alias(f"p{n}"), F.col("asked").alias(f"l{n}")) for n in ("a", "b"))
-        enough = written(pairs.join(left, "a").join(right, "b").mapInArrow(share_enough, "a long, b long"), "enough")
+        met = written(pairs, "pairs")
+        some = prefixes_of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        left, right = (some.select(F.col("node").alias(n), F.col("prefix").alias(f"p{n}"), F.col("asked").alias(f"l{n}")) for n in ("a", "b"))
+        enough = written(met.join(left, "a").join(right, "b").mapInArrow(share_enough, "a long, b long"), "enough")
         sets = sets_of(enough.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         out = written(enough.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
-        discard(enough, sets)
+        discard(met, enough, sets)
         return out
 
     members = shared.join(several.select("node", "size", *PARITIES), "node")

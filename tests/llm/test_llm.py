@@ -260,6 +260,31 @@ def test_op6_ngram_join(spark, docs, odd, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(both, n, percent).collect()} == want
 
 
+def test_op6_halves_never_share_less_than_hashes():
+    """Half hashes may meet by chance, within a set as well; the multi-match test must then still let each pair through."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        pool = (rng.integers(0, 12, 40).astype(np.uint64) << np.uint64(32)) + np.arange(40, dtype=np.uint64)
+        x, y = (rng.choice(pool, size=int(rng.integers(0, 30)), replace=False) for _ in range(2))
+        assert ngram_join.most_shared(ngram_join.halves(x), ngram_join.halves(y)) >= len(np.intersect1d(x, y))
+    x, y = (rng.integers(0, 1 << 63, 50).astype(np.uint64) for _ in range(2))
+    assert ngram_join.most_shared(ngram_join.halves(x), ngram_join.halves(np.r_[x[:9], y])) == 9
+
+
+def test_op6_moves_prefixes_of_pairs_alone(spark, monkeypatch):
+    """Texts that share a passage, two of which are near: the prefixes of the others are not shuffled."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    passage, near = words(40), words(300)
+    texts = [f"{passage} {words(300)}" for _ in range(60)] + [near, f"{near} end"]
+    tables, asked = {}, []
+    written, key_filter = ngram_join.written, ngram_join.key_filter
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: tables.setdefault(name, written(df, name)) if name == "several" else written(df, name))
+    monkeypatch.setattr(ngram_join, "key_filter", lambda keys, key: (asked.append(keys.count()) if key == "node" else None, key_filter(keys, key))[1])
+    rows = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).select("doc_id", "component_id").collect()}
+    assert rows == {k: min(k, 60) for k in range(62)} and asked == [2]
+
+
 def test_op6_odd_rows(spark, odd, none):
     got = ngram_join.ngram_join(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id is None} == {None}
