@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tankwatch.functions import stats
-from tankwatch.operators import detection, features, intervals, metrics, models, segments, signal, splits
+from tankwatch.operators import detection, features, intervals, jobs, metrics, models, segments, signal, splits
 from tankwatch.params import Detection
 from tankwatch.plans import q_events
 from tankwatch.plans.telemetry import SCALED, telemetry
@@ -209,3 +209,15 @@ def test_a_stream_asks_its_state_a_few_times_for_a_vehicle(spark):
     out = pd.concat(own.handleExpiredTimer(("a",), Times((n + 100) * 3_600_000), None))
     assert out["timestamp"].tolist() == rows["timestamp"].tolist() and out["seg_id"].unique().tolist() == [1]
     assert len(calls) <= 20
+
+
+def test_an_evaluation_is_not_made_anew_by_who_reads_it(spark):
+    """The four tables of the evaluation job are stored, and an evaluation makes its curve once: plans stay small however they are read together."""
+    rng = np.random.default_rng(7)
+    scores = spark.createDataFrame([(k, m, ("long", "short")[k % 2], int(rng.random() < 0.4), float(rng.random())) for k in range(300) for m in "ab"], "event_key long, model string, pattern string, y int, score double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(models.evaluate(scores))
+    e = jobs.evaluation_job(scores, n=5)
+    for table in (e.best, e.calibration, e.per_pattern, e.top):
+        assert table.count() and not any(x in plan(table) for x in ("Join", "Aggregate", "Window"))
+    assert [r.score for r in e.top.collect()] == sorted((r.score for r in scores.where(F.col("model") == e.best.first().model).collect()), reverse=True)[:5]
