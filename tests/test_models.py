@@ -66,6 +66,24 @@ def test_one_class_and_broken_models_are_told(rows):
     assert models.predict({}, rows).count() == 0
 
 
+def test_a_failed_fit_is_no_result(rows, monkeypatch):
+    from tankwatch.plans import q_models
+
+    lost = rows.withColumn("signal", F.when(F.col("event_key") == 7, F.raise_error("lost")).otherwise(F.col("signal")))
+    for name in ("logistic", "boosted"):
+        with pytest.raises(Exception, match="lost"):
+            models.train_all(lost, ["signal"], [], [], 3, True, [name])
+    alike = rows.withColumn("y", F.lit(1))
+    with pytest.raises(ValueError, match="one class only"):
+        models.pattern_models(alike, ["signal"], [], folds=2)
+    monkeypatch.setattr(q_models, "_set", lambda spark, d: alike)
+    for query in (q_models.m2, q_models.m3, q_models.m4, q_models.m5, q_models.m10, q_models.m11, q_models.m23, q_models.m25):
+        with pytest.raises(ValueError, match="one class only"):
+            query(rows.sparkSession, "")
+    monkeypatch.setattr(q_models, "_set", lambda spark, d: rows.where("false"))
+    assert q_models.m2(rows.sparkSession, "").isEmpty()  # no events: nothing to fit, nothing to score
+
+
 def test_pattern_models_skip_small_patterns(spark, rows):
     few = rows.union(spark.createDataFrame([(900 + k, "rare", k % 2, True, 1.0, 1.0, 0) for k in range(6)], rows.schema))
     assert set(models.pattern_models(few, ["signal"], [], folds=2)) == {"postjourney", "short"}
