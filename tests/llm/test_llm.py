@@ -53,6 +53,26 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_labels_are_never_broadcast(spark, sf, monkeypatch):
+    """There are as many labels as labelled documents, in a file that Spark takes for small."""
+    import corpus_pipeline
+
+    given = []
+
+    def stop(labelled, *args):
+        given.append(labelled)
+        raise StopIteration
+
+    monkeypatch.setattr(toxicity, "fit", stop)
+    for query in (lambda: queries.op1_toxicity(spark, sf), lambda: corpus_pipeline.drop_toxic(spark, common.table(spark, sf, "documents"), sf)):
+        with pytest.raises(StopIteration):
+            query()
+    for labelled in given:
+        plan = labelled._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan and not labelled.isEmpty()
+    assert len(given) == 2
+
+
 def test_op1_toxicity(spark, odd, none):
     rng = np.random.default_rng(0)
     syllables = ["an", "or", "the", "in", "tion", "er", "ble", "sh"]
