@@ -229,6 +229,29 @@ def test_a_stream_asks_its_state_a_few_times_for_a_vehicle(spark):
     assert len(calls) <= 20
 
 
+def test_a_part_of_a_stream_is_not_one_tasks(spark, sf, monkeypatch):
+    """A part arrives in as many files as it has tasks, and all of them make one batch."""
+    from tankwatch.plans import q_jobs
+    from tankwatch.streaming import streams
+
+    whole, path, paths, seen = q_jobs.telemetry, q_jobs._path, {}, []
+    monkeypatch.setattr(q_jobs, "telemetry", lambda spark, d: whole(spark, d).repartition(4, "event_id"))
+    monkeypatch.setattr(q_jobs, "_path", lambda spark, name: paths.setdefault(name, path(spark, name)))
+
+    def note(stream, *args):
+        def batch(rows, number):
+            seen.append((number, rows.count()))
+
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", path(spark, "noted")).trigger(availableNow=True).start().awaitTermination()
+        raise StopIteration
+
+    monkeypatch.setattr(streams, "detect_batches", note)
+    with pytest.raises(StopIteration):
+        q_jobs.i11(spark, sf)
+    first = spark.read.parquet(paths["in"])
+    assert len(first.inputFiles()) > 1 and seen == [(0, first.count())]
+
+
 def test_an_evaluation_is_not_made_anew_by_who_reads_it(spark):
     """The four tables of the evaluation job are stored, and an evaluation makes its curve once: plans stay small however they are read together."""
     rng = np.random.default_rng(7)
